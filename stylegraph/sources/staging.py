@@ -20,14 +20,14 @@ def scratch_root(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder, because there the
     driver and the executors are the same process.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="stylegraph-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="stylegraph-"))
+    return context.getCheckpointDir()
 
 
 def settle(df: DataFrame, label: str = "table") -> DataFrame:
