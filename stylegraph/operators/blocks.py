@@ -46,6 +46,15 @@ def block_of(df: DataFrame, blocks: int):
     return F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
 
 
+def fits_beside(right: DataFrame, block_rows: int = BLOCK_ROWS) -> bool:
+    """Whether a side is small enough, by count and width, to travel with the tasks."""
+    rows = right.count()
+    if rows == 0:
+        return True
+    return rows <= block_rows and rows * right.select(
+        F.size("vector")).first()[0] * 8 <= SMALL_SIDE_BYTES
+
+
 def product(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str,
             block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Run ``kernel(left_block, right_block)`` for every pair of blocks.
@@ -54,21 +63,17 @@ def product(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str,
     A right side whose measured size is small is sent to the tasks that already
     hold the left rows, which then do not move at all.
     """
-    right_rows = right.count()
-    if right_rows == 0:
-        return left.sparkSession.createDataFrame([], schema)
-    width = right.select(F.size("vector")).first()[0]
-    if right_rows <= block_rows and right_rows * width * 8 <= SMALL_SIDE_BYTES:
+    if fits_beside(right, block_rows):
         side = right.toArrow()
 
         def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
+                if batch.num_rows and side.num_rows:
                     yield from kernel(pa.Table.from_batches([batch]), side).to_batches()
 
         return left.mapInArrow(beside, schema)
 
-    nl, nr = block_count(left.count(), block_rows), block_count(right_rows, block_rows)
+    nl, nr = block_count(left.count(), block_rows), block_count(right.count(), block_rows)
     l = (left.withColumn("_lb", block_of(left, nl))
          .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))))
     r = (right.withColumn("_rb", block_of(right, nr))
