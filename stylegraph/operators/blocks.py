@@ -174,3 +174,29 @@ def top_matches(left: DataFrame, right: DataFrame, k: int, digits: int = 9,
     w = Window.partitionBy("id").orderBy(score, F.col("match").asc())
     return (partial.withColumn("rank", F.row_number().over(w).cast("bigint"))
             .filter(F.col("rank") <= k))
+
+
+def score_vectors(left: DataFrame, right: DataFrame,
+                  score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Scores of each left row against all right rows: ``(id, labels, scores)``,
+    lists in the order of the right ids."""
+    kind = left.schema["id"].dataType.simpleString()
+    label = right.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, labels array<{label}>, scores array<double>"
+    out = arrow_schema(schema)
+
+    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        rt = rt.take(pc.sort_indices(rt.column("id")))
+        grid = score(matrix(lt), matrix(rt))
+        ends = np.arange(lt.num_rows + 1, dtype=np.int32) * rt.num_rows
+        names = pa.concat_arrays([rt.column("id").combine_chunks()] * lt.num_rows)
+        return pa.table([lt.column("id"), pa.ListArray.from_arrays(ends, names),
+                         pa.ListArray.from_arrays(ends, pa.array(grid.ravel()))], schema=out)
+
+    parts = product(left, right, kernel, schema)
+    if fits_beside(right):
+        return parts
+    # one row per block of the right side: put them together in order
+    pairs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("labels", "scores"))))
+    return parts.groupBy("id").agg(pairs.alias("p")).select(
+        "id", F.col("p.labels").alias("labels"), F.col("p.scores").alias("scores"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from stylegraph.functions.vectors import dot, l2_normalize, vector_sum
 from stylegraph.operators.blocks import (BLOCK_ROWS, TILE_ROWS, arrow_schema, matrix, product,
@@ -89,7 +89,7 @@ def ndcg(bins: DataFrame, keys: list[str]) -> DataFrame:
 _CUMULATIVE = np.zeros(1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _discounts(before: pd.Series, size: pd.Series) -> pd.Series:
     """Sum of 1/log2(rank + 1) over the ranks before+1 .. before+size."""
     global _CUMULATIVE

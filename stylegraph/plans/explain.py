@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from stylegraph.functions.vectors import (cosine, dot, l2_normalize, rescale_unit, vector_mean)
-from stylegraph.operators.blocks import (arrow_schema, fits_beside, matrix, product,
-                                         top_matches)
+from stylegraph.operators.blocks import score_vectors, top_matches
 from stylegraph.operators.skew import global_index, lookup_join, number_in_group
+from stylegraph.sources.staging import settle
 from stylegraph.operators.tfidf import best_first, with_cluster_features
 
 
@@ -26,25 +24,7 @@ def interpretable_vectors(docs: DataFrame, bases: DataFrame) -> DataFrame:
 
     ``docs(id, vector)`` and ``bases(id, vector)``; lists are in label order.
     """
-    kind = docs.schema["id"].dataType.simpleString()
-    label = bases.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, labels array<{label}>, scores array<double>"
-    out = arrow_schema(schema)
-
-    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        rt = rt.take(pc.sort_indices(rt.column("id")))
-        scores = matrix(lt) @ matrix(rt).T
-        labels = rt.column("id").to_pylist()
-        return pa.table([lt.column("id"), pa.array([labels] * lt.num_rows, out.field(1).type),
-                         pa.array(list(scores), out.field(2).type)], schema=out)
-
-    parts = product(docs, bases, kernel, schema)
-    if fits_beside(bases):
-        return parts
-    # several blocks of bases: one row per block and document, put together in label order
-    pairs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("labels", "scores"))))
-    return parts.groupBy("id").agg(pairs.alias("p")).select(
-        "id", F.col("p.labels").alias("labels"), F.col("p.scores").alias("scores"))
+    return score_vectors(docs, bases, lambda a, b: a @ b.T)
 
 
 def score_rows(vectors: DataFrame) -> DataFrame:
@@ -141,10 +121,11 @@ def author_similarity_ranks(docs: DataFrame, query: str, bases: DataFrame) -> Da
     spaces = unit.join(interp.select("id", "scores"), "id").groupBy("author_id").agg(
         vector_mean(F.col("vector")).alias("latent"),
         vector_mean(l2_normalize(F.col("scores"))).alias("interp"))
-    asked = spaces.filter(F.col("author_id") == query)
+    spaces = settle(spaces, "spaces")
+    asked = spaces.filter(F.col("author_id") == query).select("latent", "interp").first()
     rows = spaces.filter(F.col("author_id") != query)
-    for name in ("latent", "interp"):
-        rows = rows.withColumn(name, F.round(dot(F.col(name), asked.select(name).scalar()), 9))
+    for name in ("latent", "interp"):      # one vector each, as a constant
+        rows = rows.withColumn(name, F.round(dot(F.col(name), F.lit(asked[name])), 9))
     for name in ("latent", "interp"):
         rows = global_index(rows.withColumn("_far", -F.col(name)), ["_far", "author_id"],
                             f"{name}_rank").drop("_far")
