@@ -1,4 +1,4 @@
 """Imports every module of registered queries."""
 
-from stylegraph.registry import space  # noqa: F401
+from stylegraph.registry import authors, evaluation, sources, space, text  # noqa: F401
 from stylegraph.registry.base import QUERIES, SQL  # noqa: F401
