@@ -126,8 +126,8 @@ def top_matches(left: DataFrame, right: DataFrame, k: int, digits: int = 9,
                 exclude_same: bool = False) -> DataFrame:
     """The ``k`` right rows with the largest dot product for every left row.
 
-    Returns ``(id, match, score, rank)``; scores are rounded before ranking and
-    ties go to the smaller match, so the outcome does not depend on blocks.
+    Returns ``(id, match, score, rank)``. Scores are ranked at ``digits`` places
+    and ties go to the smaller match, so the outcome does not depend on blocks.
     """
     from pyspark.sql import Window
 
@@ -145,8 +145,8 @@ def top_matches(left: DataFrame, right: DataFrame, k: int, digits: int = 9,
         same_id = np.asarray(matches.to_pylist(), dtype=object) if exclude_same else None
         picked_l, picked_r, picked_s = [], [], []
         for start in range(0, len(a), TILE_ROWS):
-            scores = np.round(a[start:start + TILE_ROWS] @ b.T, digits) + 0.0
-            cost = sign * scores
+            scores = a[start:start + TILE_ROWS] @ b.T
+            cost = sign * np.round(scores, digits)
             if exclude_same:
                 here = np.asarray(ids.slice(start, TILE_ROWS).to_pylist(), dtype=object)
                 cost[here[:, None] == same_id[None, :]] = np.inf
@@ -170,7 +170,8 @@ def top_matches(left: DataFrame, right: DataFrame, k: int, digits: int = 9,
                         schema=out)
 
     partial = product(left, right, kernel, schema, block_rows)
-    score = F.col("score").asc() if ascending else F.col("score").desc()
+    score = F.round("score", digits)
+    score = score.asc() if ascending else score.desc()
     w = Window.partitionBy("id").orderBy(score, F.col("match").asc())
     return (partial.withColumn("rank", F.row_number().over(w).cast("bigint"))
             .filter(F.col("rank") <= k))

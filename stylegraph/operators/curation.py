@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stylegraph.functions.text import token_overlap, tokens, words
 from stylegraph.operators import similarity
-from stylegraph.operators.blocks import arrow_schema, score_vectors
+from stylegraph.operators.blocks import (TILE_ROWS, arrow_schema, matrix, score_vectors,
+                                         self_product)
 from stylegraph.operators.cluster import dbscan, drop_noise, small_clusters
 from stylegraph.operators.graph import SMALL_EDGES
 from stylegraph.operators.skew import global_index, lookup_join
@@ -70,6 +71,27 @@ def word_difference_neighbours(features: DataFrame, eps: float) -> DataFrame:
         word_points(features), eps, similarity.word_distance).withColumnRenamed("id", "idx")
 
 
+def word_difference_histogram(features: DataFrame) -> DataFrame:
+    """Number of feature pairs per word difference: ``(difference, pairs)``."""
+    schema = "difference bigint, pairs bigint"
+    out = arrow_schema(schema)
+
+    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        a, b = matrix(lt), matrix(rt)
+        counts = np.zeros(a.shape[1] + 1, np.int64)
+        for start in range(0, len(a), TILE_ROWS):
+            apart = similarity.word_distance(a[start:start + TILE_ROWS], b).astype(np.int64)
+            counts += np.bincount(apart.ravel(), minlength=len(counts))
+        if lt.column("_lb")[0] == lt.column("_rb")[0]:
+            counts[0] -= len(a)        # a row against itself
+            counts //= 2               # every other pair was met twice
+        at = np.nonzero(counts)[0]
+        return pa.table([pa.array(at), pa.array(counts[at])], schema=out)
+
+    parts = self_product(settle(word_points(features), "words"), kernel, schema)
+    return parts.groupBy("difference").agg(F.sum("pairs").alias("pairs"))
+
+
 def profile_points(features: DataFrame, max_features: int) -> DataFrame:
     """Each feature as its row of word differences to all features."""
     count = features.count()

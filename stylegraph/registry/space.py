@@ -154,9 +154,10 @@ def _vector_mean(t: Tables):
 # --- distances and clusters ------------------------------------------------
 
 @query("pairwise_cosine_distance", with_("docs50", extra=",\n".join([means_cte("docs50"), PAIRS])) + """,
-    both_ways AS (SELECT a, b, d FROM pairs UNION ALL SELECT b, a, d FROM pairs)
+    near AS (SELECT a.author_id AS a, b.author_id AS b, 1 - list_cosine_similarity(a.vector, b.vector) AS d
+        FROM means a JOIN means b ON a.author_id <> b.author_id)
     SELECT a AS author_id, rank, b AS neighbour, round(d, 6) + 0.0 AS distance FROM (
-    SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM both_ways)
+    SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS rank FROM near)
     WHERE rank <= 5""")
 def _pairwise_cosine_distance(t: Tables):
     points = settle(cluster.unit_points(cluster.author_means(t.docs50), "author_id"), "points")
@@ -427,9 +428,9 @@ BASES = """bases AS (SELECT cluster_label, list_transform(centroid,
         lambda x: x / sqrt(list_dot_product(centroid, centroid))) AS base
         FROM centroids WHERE cluster_label <> -1)"""
 SCORES = """scores AS (SELECT d.document_id, b.cluster_label,
-        round(list_dot_product(d.embedding, b.base), 9) AS score FROM docs d, bases b)"""
+        list_dot_product(d.embedding, b.base) AS score FROM docs d, bases b)"""
 RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id
-        ORDER BY score DESC, cluster_label) AS rank FROM scores)"""
+        ORDER BY round(score, 9) DESC, cluster_label) AS rank FROM scores)"""
 
 
 @query("interpretable_vectors", space_sql(BASES) + """
@@ -479,7 +480,7 @@ def _top_cluster_features(t: Tables):
 
 @query("least_similar_clusters", space_sql(
     IDF, COUNTS, WEIGHTS, BASES, SCORES,
-    RANKED.replace("score DESC", "score ASC"), TOP) + _EXPLAINED.format(c=2))
+    RANKED.replace("9) DESC", "9) ASC"), TOP) + _EXPLAINED.format(c=2))
 def _least_similar_clusters(t: Tables):
     return explained(t, 2, reverse=True)
 

@@ -138,21 +138,20 @@ def resume_pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def read_role_files(spark: SparkSession, folder: str, role: str) -> DataFrame:
-    """Documents from the ``*queries*`` or ``*candidates*`` files of a folder.
+    """Documents from the ``*queries*`` or ``*candidates*`` files (or folders of files).
 
     ``prefix`` is the data set name before ``_TA2`` in the file name.
     """
-    rows = spark.read.option("pathGlobFilter", f"*{role}*").schema(T.StructType([
+    rows = spark.read.schema(T.StructType([
         T.StructField("documentID", T.StringType()),
         T.StructField("authorIDs", T.ArrayType(T.StringType())),
         T.StructField("authorSetIDs", T.ArrayType(T.StringType())),
-        T.StructField("fullText", T.StringType())])).json(folder)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+        T.StructField("fullText", T.StringType())])).json(f"{folder}/*{role}*")
     return rows.select(
         F.col("documentID").alias("document_id"),
         F.coalesce("authorIDs", "authorSetIDs").alias("author_ids"),
         F.col("fullText").alias("full_text"),
-        F.regexp_extract(name, "^(.*?)_TA2", 1).alias("prefix"))
+        F.regexp_extract("_metadata.file_path", "([^/]*?)_TA2", 1).alias("prefix"))
 
 
 def flatten_struct(df: DataFrame, sep: str = "_") -> DataFrame:
