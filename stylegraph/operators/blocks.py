@@ -13,7 +13,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from stylegraph.sources.staging import settle
 
 BLOCK_ROWS = 8192        # most rows of one side a task holds
 TILE_ROWS = 512          # rows multiplied at a time inside a task
@@ -63,6 +65,7 @@ def product(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str,
     A right side whose measured size is small is sent to the tasks that already
     hold the left rows, which then do not move at all.
     """
+    right = settle(right, "right")
     if fits_beside(right, block_rows):
         side = right.toArrow()
 
@@ -73,6 +76,7 @@ def product(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str,
 
         return left.mapInArrow(beside, schema)
 
+    left = settle(left, "left")
     nl, nr = block_count(left.count(), block_rows), block_count(right.count(), block_rows)
     l = (left.withColumn("_lb", block_of(left, nl))
          .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))))
@@ -87,6 +91,7 @@ def self_product(rows: DataFrame, kernel: Kernel, schema: str,
 
     ``kernel`` gets the same rows twice for a block paired with itself.
     """
+    rows = settle(rows, "rows")
     n = block_count(rows.count(), block_rows)
     blocked = rows.withColumn("_b", block_of(rows, n))
     l = (blocked.withColumn("_rb", F.explode(F.sequence(F.col("_b"), F.lit(n - 1))))
@@ -129,8 +134,6 @@ def top_matches(left: DataFrame, right: DataFrame, k: int, digits: int = 9,
     Returns ``(id, match, score, rank)``. Scores are ranked at ``digits`` places
     and ties go to the smaller match, so the outcome does not depend on blocks.
     """
-    from pyspark.sql import Window
-
     id_type = left.schema["id"].dataType.simpleString()
     match_type = right.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, match {match_type}, score double"
@@ -194,6 +197,7 @@ def score_vectors(left: DataFrame, right: DataFrame,
         return pa.table([lt.column("id"), pa.ListArray.from_arrays(ends, names),
                          pa.ListArray.from_arrays(ends, pa.array(grid.ravel()))], schema=out)
 
+    right = settle(right, "right")
     parts = product(left, right, kernel, schema)
     if fits_beside(right):
         return parts

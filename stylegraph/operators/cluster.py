@@ -13,7 +13,8 @@ from stylegraph.functions.vectors import dot, l2_normalize, vector_mean, vector_
 from stylegraph.operators import blocks
 from stylegraph.operators.graph import SMALL_EDGES, connected_components, spanning_forest
 from stylegraph.operators.similarity import Distance, cosine_distance, forest_edges
-from stylegraph.operators.skew import lookup_join, number_in_group
+from stylegraph.operators.skew import global_index, lookup_join, number_in_group
+from stylegraph.sources.staging import settle
 
 NOISE = -1
 
@@ -31,11 +32,11 @@ def unit_points(vectors: DataFrame, key: str) -> DataFrame:
 
 def _label(nodes: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
     """Number components by their smallest member; nodes without one are noise."""
-    heads = members.select(*keys, "component").distinct()
+    members = settle(members, "members")
+    heads = settle(members.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_n")), "heads")
     numbered = number_in_group(heads, keys, ["component"], "cluster_label") if keys else \
-        number_in_group(heads.withColumn("_k", F.lit(0)), ["_k"], ["component"],
-                        "cluster_label").drop("_k")
-    labelled = lookup_join(members, numbered, [*keys, "component"])
+        global_index(heads, ["component"], "cluster_label")
+    labelled = lookup_join(members, numbered, [*keys, "component"], counted="_n")
     labelled = labelled.select(*keys, F.col("node").alias("id"), "cluster_label")
     return (nodes.join(labelled, [*keys, "id"], "left")
             .withColumn("cluster_label",
@@ -90,13 +91,13 @@ def silhouette_cosine(points: DataFrame, labels: DataFrame, keep_noise: bool = F
     rows = points.join(labels, "id")
     if not keep_noise:
         rows = drop_noise(rows)
-    rows = rows.select("id", "vector", "cluster_label")
-    means = rows.groupBy("cluster_label").agg(
-        vector_mean(F.col("vector")).alias("mean"), F.count(F.lit(1)).alias("n"))
+    rows = settle(rows.select("id", "vector", "cluster_label"), "clustered")
+    means = settle(rows.groupBy("cluster_label").agg(
+        vector_mean(F.col("vector")).alias("mean"), F.count(F.lit(1)).alias("n")), "means")
     near = blocks.top_matches(
         rows.select("id", "vector"),
         means.select(F.col("cluster_label").alias("id"), F.col("mean").alias("vector")), 2)
-    own = lookup_join(rows, means, ["cluster_label"]).select(
+    own = lookup_join(rows, means, ["cluster_label"], counted="n").select(
         "id", "cluster_label", "n", dot(F.col("vector"), F.col("mean")).alias("own"))
     other = (near.join(own.select("id", "cluster_label"), "id")
              .filter("match <> cluster_label")

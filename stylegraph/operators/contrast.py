@@ -223,10 +223,10 @@ def greedy_select_by_class(items: DataFrame, k: int, weight: float = 0.1,
     whole, count = F.lit([float(x) for x in total["s"]]), F.lit(int(total["n"]))
     others = F.zip_with(whole, F.col("s"), lambda t, s: t - s)
     means = sums.select(
-        "class", F.transform("s", lambda x: x / F.col("n")).alias("mean"),
+        "class", "n", F.transform("s", lambda x: x / F.col("n")).alias("mean"),
         F.when(count > F.col("n"), F.transform(others, lambda x: x / (count - F.col("n"))))
         .otherwise(F.transform("s", lambda x: x * 0.0)).alias("rest"))
-    state = lookup_join(unit, means, ["class"]).select(
+    state = lookup_join(unit, means, ["class"], counted="n").select(
         "id", "class", "vector", dot(v, F.col("mean")).alias("to_v"),
         dot(v, F.col("rest")).alias("to_c"), dot(v, v).alias("own"),
         *[F.lit(0.0).alias(c) for c in ("dots", "sum_v", "sum_c", "inner")])

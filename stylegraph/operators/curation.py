@@ -22,7 +22,7 @@ Affinity = Callable[[Column, Column], Column]
 
 def _frequent(rows: DataFrame, item: str, test) -> DataFrame:
     keep = rows.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).filter(test(F.col("_n")))
-    return lookup_join(rows, keep.select(item), [item])
+    return lookup_join(rows, keep, [item], counted="_n").drop("_n")
 
 
 def min_frequency_filter(rows: DataFrame, feature: str = "feature", threshold: int = 2) -> DataFrame:
@@ -158,7 +158,7 @@ def overlap_edges(items: DataFrame, threshold: float) -> DataFrame:
                   .filter(F.size("t") > 0), "token-sets")
     long = sets.select("id", F.size("t").alias("n"), F.explode("t").alias("token"))
     counts = long.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
-    ranked = lookup_join(long, counts, ["token"])
+    ranked = lookup_join(long, counts, ["token"], counted="rows")
     rarest = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(
         F.struct("rows", "token"))).alias("s"))
     reach = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")

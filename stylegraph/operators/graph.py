@@ -76,13 +76,15 @@ def connected_components(edges: DataFrame, keys: list[str] | None = None,
     while True:
         both = links.select(*keys, F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             links.select(*keys, F.col("lo").alias("u"), F.col("hi").alias("v")))
-        smallest = both.groupBy(*keys, "u").agg(F.min("v").alias("_v")).select(
-            *keys, "u", F.least("u", "_v").alias("m"))
-        large = lookup_join(both.filter("v > u"), smallest, [*keys, "u"], hot_rows=hot_rows)
+        smallest = both.groupBy(*keys, "u").agg(F.min("v").alias("_v"), F.count(F.lit(1)).alias("n")
+                                                ).select(*keys, "u", F.least("u", "_v").alias("m"), "n")
+        large = lookup_join(both.filter("v > u"), smallest, [*keys, "u"], counted="n",
+                            hot_rows=hot_rows)
         large = settle(large.select(*keys, F.col("v").alias("hi"), F.col("m").alias("lo"))
                        .distinct(), "stars")
-        smallest = large.groupBy(*keys, "hi").agg(F.min("lo").alias("m"))
-        joined = lookup_join(large, smallest, [*keys, "hi"], hot_rows=hot_rows)
+        smallest = settle(large.groupBy(*keys, "hi").agg(
+            F.min("lo").alias("m"), F.count(F.lit(1)).alias("n")), "smallest")
+        joined = lookup_join(large, smallest, [*keys, "hi"], counted="n", hot_rows=hot_rows)
         small = (joined.filter("lo <> m").select(*keys, F.col("lo").alias("hi"),
                                                  F.col("m").alias("lo"))
                  .unionByName(smallest.select(*keys, "hi", F.col("m").alias("lo"))))
@@ -145,7 +147,7 @@ def spanning_forest(edges: DataFrame, small_edges: int = SMALL_EDGES,
         merged = settle(merged, "merged")
         for side in ("ca", "cb"):
             renamed = merged.select(F.col("node").alias(side), F.col("component").alias("_c"))
-            rest = lookup_join(rest, renamed, [side], "left", hot_rows).withColumn(
+            rest = lookup_join(rest, renamed, [side], "left").withColumn(
                 side, F.coalesce("_c", side)).drop("_c")
         # only the cheapest edge between two components can still matter
         slim = (rest.filter("ca <> cb")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from stylegraph.operators.blocks import (BLOCK_ROWS, TILE_ROWS, arrow_schema,
                                          cogroup_blocks, matrix, self_product)
 from stylegraph.operators.graph import grow_forest
+from stylegraph.sources.staging import settle
 
 DIGITS = 9
 MAX_PIVOTS = 1024
@@ -65,6 +66,7 @@ def forest_edges(rows: DataFrame, limit: float, distance: Distance = cosine_dist
 
     ``rows`` has ``id`` and ``vector``; for cosine the vectors are unit length.
     """
+    rows = settle(rows.select("id", "vector"), "points")
     kernel, schema = _forest_kernel(rows.schema["id"].dataType.simpleString(), limit, distance)
     if distance is cosine_distance and limit < 0.5 and rows.count() > 4 * block_rows:
         return _pivot_join(rows, limit, kernel, schema, block_rows)
@@ -152,5 +154,5 @@ def neighbour_counts(rows: DataFrame, eps: float, distance: Distance = cosine_di
             return left
         return pa.concat_tables([left, pa.table([rt.column("id"), pa.array(there)], schema=out)])
 
-    parts = self_product(rows, kernel, schema, block_rows)
+    parts = self_product(rows.select("id", "vector"), kernel, schema, block_rows)
     return parts.groupBy("id").agg(F.sum("n").alias("neighbours"))

@@ -15,27 +15,28 @@ SMALL_ROWS = 100_000
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner",
-                hot_rows: int = HOT_ROWS, row_count: int | None = None) -> DataFrame:
+                counted: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``rows`` to a table holding at most one row per key.
 
-    A key can only be hot when it has at least ``threshold`` rows, and there are
-    at most ``rows / threshold`` such keys, so the hot part of the lookup has a
-    known size and is broadcast; the rest is an ordinary shuffle join.
+    The lookup is written first: then both sides of the join come straight from
+    an exchange and adaptive execution splits a skewed key by itself, or
+    broadcasts the lookup when its measured size allows.
+
+    ``counted`` names a lookup column that tells how many rows each key has. Keys
+    above ``threshold`` are then split off: as their counts add up to the total,
+    there are at most ``total / threshold`` of them, a known size to broadcast.
     """
-    total = rows.count() if row_count is None else row_count
-    threshold = max(hot_rows, total // MAX_HOT_KEYS)
-    if total <= threshold:
+    lookup = settle(lookup, "lookup")
+    if counted is None:
+        return rows.join(lookup, keys, how)
+    total, largest = lookup.agg(F.sum(counted), F.max(counted)).first()
+    threshold = max(hot_rows, (total or 0) // MAX_HOT_KEYS)
+    if (largest or 0) <= threshold:
         return rows.join(lookup, keys, how)
-    hot = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > threshold).select(*keys))
-    hot = settle(hot, "hot-keys")
-    known = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    marked = rows.join(known, keys, "left")
-    busy = marked.filter("_hot").drop("_hot")
-    calm = marked.filter("_hot is null").drop("_hot")
-    hot_lookup = lookup.join(F.broadcast(hot), keys, "left_semi")
-    return busy.join(F.broadcast(hot_lookup), keys, how).unionByName(
-        calm.join(lookup, keys, how))
+    hot = F.broadcast(lookup.filter(F.col(counted) > threshold))
+    calm = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(
+        calm.join(lookup.filter(F.col(counted) <= threshold), keys, how))
 
 
 def global_index(df: DataFrame, order: list[str], name: str = "idx",
@@ -66,15 +67,18 @@ def global_index(df: DataFrame, order: list[str], name: str = "idx",
 
 
 def number_in_group(df: DataFrame, group: list[str], order: list[str],
-                    name: str = "pos", small_rows: int = SMALL_ROWS) -> DataFrame:
+                    name: str = "pos", small_rows: int = SMALL_ROWS,
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """Position 0.. of each row inside its group; a huge group spans many tasks."""
     if small_rows and df.count() <= small_rows:
         w = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(name, F.row_number().over(w).cast("bigint") - 1)
     indexed = global_index(df, [*group, *order], "_g", small_rows=0)
-    starts = indexed.groupBy(*group).agg(F.min("_g").alias("_start"))
-    return (lookup_join(indexed, starts, group)
-            .withColumn(name, F.col("_g") - F.col("_start")).drop("_g", "_start"))
+    indexed = settle(indexed, "numbered")
+    starts = indexed.groupBy(*group).agg(F.min("_g").alias("_start"),
+                                         F.count(F.lit(1)).alias("_n"))
+    return (lookup_join(indexed, starts, group, counted="_n", hot_rows=hot_rows)
+            .withColumn(name, F.col("_g") - F.col("_start")).drop("_g", "_start", "_n"))
 
 
 def in_parts(df: DataFrame, group: list[str], order: list[str], columns: list[str],

@@ -100,8 +100,9 @@ def representative_document(docs: DataFrame) -> DataFrame:
 
     ``docs(author_id, id, vector)`` gives ``(author_id, document_id, closeness)``.
     """
-    means = docs.groupBy("author_id").agg(vector_mean(F.col("vector")).alias("mean"))
-    scored = lookup_join(docs, means, ["author_id"]).select(
+    means = docs.groupBy("author_id").agg(vector_mean(F.col("vector")).alias("mean"),
+                                          F.count(F.lit(1)).alias("n"))
+    scored = lookup_join(docs, means, ["author_id"], counted="n").select(
         "author_id", "id", F.round(cosine(F.col("vector"), F.col("mean")), 9).alias("closeness"))
     # the smaller id wins a tie
     best = F.min(F.struct((-F.col("closeness")).alias("far"), F.col("id")))

@@ -101,6 +101,12 @@ def _training_pairs(t: Tables):
     return A.training_pair_counts(*sides(t), truth(t))
 
 
+@query("matched_cross_pairs", with_("docs50") + """SELECT author_id AS query_author, author_id AS candidate_author,
+    count(*) FILTER (WHERE side = 0) * count(*) FILTER (WHERE side = 1) AS pairs FROM docs50 GROUP BY author_id""")
+def _matched_cross_pairs(t: Tables):
+    return A.training_pair_counts(*sides(t), truth(t)).filter("kind = 'match'").drop("kind")
+
+
 SPLIT = """shares AS (SELECT DISTINCT author_id, CASE WHEN ('0x' || substr(md5(author_id::VARCHAR), 1, 8))::BIGINT
     % 1000 < 150 THEN 'valid' ELSE 'train' END AS split FROM docs50)"""
 

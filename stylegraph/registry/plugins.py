@@ -85,7 +85,8 @@ def _shorten_map(t: Tables):
     return H.shorten_map(once, "shortened_v1", "shortened_v2", short, lexicon, tags)
 
 
-@query("summarize", """SELECT conv_id, count(*) AS features, md5('129 ' || reverse(string_agg(text, chr(10)
+@query("summarize", f"""SELECT conv_id, count(*) AS features,
+    md5('{len(X.INSTRUCTIONS["to_concise_paragraph"])} ' || reverse(string_agg(text, chr(10)
     ORDER BY turn))) AS hash FROM conversations GROUP BY conv_id""")
 def _summarize(t: Tables):
     lists = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(

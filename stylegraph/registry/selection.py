@@ -126,31 +126,47 @@ def _seeds(t: Tables):
     return K.farthest_first_seeds(items(t), 5, 0)
 
 
-# The first step of the selection per class, in full
-_FIRST = with_("docs50", extra=UNIT) + """,
+def greedy_sql(k: int, group: str, weight: float) -> str:
+    """The first ``k`` greedy picks per group, one step after the other."""
+    def gain(mean: str, back: str, m: int) -> str:
+        grown = (f"- 2 * {back} + {2 * (m - 1) / m + 1 / m} * ss - {2 * (m - 1) / m} * ts"
+                 if m > 1 else "")
+        return f"(2 * {mean} - own / {m} {grown}) / {m}"
+
+    parts = [UNIT, f"""w AS (SELECT id, {group} AS class, v FROM u),
+    d AS (SELECT a.class, a.id AS i, b.id AS j, list_dot_product(a.v, b.v) AS k FROM w a JOIN w b ON b.class = a.class),
     c AS (SELECT a.class, a.id, avg(list_dot_product(a.v, b.v)) FILTER (WHERE b.class = a.class) AS tv,
-        avg(list_dot_product(a.v, b.v)) FILTER (WHERE b.class <> a.class) AS tc,
-        any_value(list_dot_product(a.v, a.v)) AS own FROM u a, u b GROUP BY 1, 2),
-    scored AS (SELECT class, id, round((2 * tv - own) - 0.1 * (2 * tc - own), 12) AS gain FROM c)"""
-
-
-@query("greedy_select_by_class", _FIRST + """SELECT class::BIGINT AS class, 1::BIGINT AS step,
-    arg_min(id, (-gain, id)) AS id, round(max(gain), 6) + 0.0 AS gain FROM scored GROUP BY class""")
-def _greedy_first(t: Tables):
-    return K.greedy_select_by_class(items(t), 1, 0.1).select("class", "step", "id", r6("gain", "gain"))
-
-
-@query("greedy_select_by_class_steps")
+        coalesce(avg(list_dot_product(a.v, b.v)) FILTER (WHERE b.class <> a.class), 0) AS tc,
+        any_value(list_dot_product(a.v, a.v)) AS own FROM w a, w b GROUP BY 1, 2)"""]
+    for m in range(1, k + 1):
+        taken = " UNION ALL ".join(f"SELECT class, id FROM pick{i}" for i in range(1, m))
+        score = f"round({gain('tv', 'vs', m)} - {weight} * ({gain('tc', 'cs', m)}), 12)"
+        if m > 1:
+            parts.append(f"""t{m} AS ({taken}),
+    g{m} AS (SELECT class, avg(tv) AS vs, avg(tc) AS cs FROM t{m} JOIN c USING (class, id) GROUP BY class),
+    h{m} AS (SELECT a.class, avg(d.k) AS ss FROM t{m} a JOIN t{m} b ON b.class = a.class
+        JOIN d ON d.i = a.id AND d.j = b.id GROUP BY 1),
+    s{m} AS (SELECT d.i AS id, avg(d.k) AS ts FROM d JOIN t{m} t ON t.id = d.j GROUP BY 1)""")
+            source = (f"c JOIN g{m} USING (class) JOIN h{m} USING (class) JOIN s{m} USING (id) "
+                      f"WHERE id NOT IN (SELECT id FROM t{m})")
+        else:
+            source = "c"
+        parts.append(f"""pick{m} AS (SELECT class, arg_min(id, (-gain, id)) AS id, max(gain) AS gain
+        FROM (SELECT class, id, {score} AS gain FROM {source}) GROUP BY class)""")
+    steps = " UNION ALL ".join(
+        f"SELECT class, {m}::BIGINT AS step, id, round(gain, 6) + 0.0 AS gain FROM pick{m}"
+        for m in range(1, k + 1))
+    return with_("docs50", extra=",\n".join(parts)) + f"SELECT * FROM ({steps})"
+
+
+@query("greedy_select_by_class", greedy_sql(3, "class::BIGINT", 0.1))
 def _greedy(t: Tables):
-    return K.greedy_select_by_class(items(t), 4, 0.1)
+    return K.greedy_select_by_class(items(t), 3, 0.1).select("class", "step", "id", r6("gain", "gain"))
 
 
-@query("greedy_select", with_("docs50", extra=UNIT) + """,
-    c AS (SELECT a.id, round(2 * avg(list_dot_product(a.v, b.v)) - any_value(list_dot_product(a.v, a.v)), 12) AS gain
-        FROM u a, u b GROUP BY 1)
-    SELECT 1::BIGINT AS step, arg_min(id, (-gain, id)) AS id, round(max(gain), 6) AS gain FROM c""")
+@query("greedy_select", "SELECT step, id, gain FROM (" + greedy_sql(3, "0", 0.0) + ")")
 def _greedy_all(t: Tables):
-    return K.greedy_select(items(t), 1).select("step", "id", r6("gain", "gain"))
+    return K.greedy_select(items(t), 3).select("step", "id", r6("gain", "gain"))
 
 
 @query("contrastive_representation")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F, types as T
 
 from stylegraph.operators import attribution
 from stylegraph.registry.base import Tables, query, r6, with_
-from stylegraph.registry.space import space
+from stylegraph.registry.space import COUNTS, IDF, WEIGHTS, space, space_sql
 from stylegraph.sources import documents as S
 from stylegraph.sources.staging import scratch_root, stage
 from stylegraph.functions.text import DOCUMENT_SEPARATOR
@@ -165,6 +165,14 @@ def _write_space(t: Tables):
     return rows
 
 
+@query("read_space", space_sql(IDF, COUNTS, WEIGHTS) + """
+    SELECT cluster_label, feature, round(weight, 6) + 0.0 AS weight FROM weights""")
+def _read_space(t: Tables):
+    path = fresh(t, "space")
+    S.write_space(path, weights=space(t)[3])
+    return S.read_space(t.spark, path, "weights").select("cluster_label", "feature", r6("weight", "weight"))
+
+
 @query("write_explanations", """SELECT doc_id AS document_id, string_split(source, 'c')[1] AS feature
     FROM documents""")
 def _write_explanations(t: Tables):

@@ -31,11 +31,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` under the shared folder and return it read back."""
+    """Write ``df`` under the shared folder and return it read back.
+
+    A table that was written here before is returned as it is.
+    """
+    if getattr(df, "_stylegraph_written", False):
+        return df
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/stylegraph/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stylegraph_written = True
+    return table
 
 
 def is_written(spark: SparkSession, path: str) -> bool:
