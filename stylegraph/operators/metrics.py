@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from stylegraph.functions.vectors import dot, l2_normalize, vector_sum
-from stylegraph.operators.blocks import (BLOCK_ROWS, TILE_ROWS, arrow_schema, matrix, product,
-                                         unit_rows)
+from stylegraph.operators.blocks import (BLOCK_ROWS, TILE_ROWS, arrow_schema, fits_beside,
+                                         matrix, product, unit_rows)
+from stylegraph.sources.staging import settle
 
 DIGITS = 6
 
@@ -151,6 +152,99 @@ def ranking_metrics(bins: DataFrame, keys: list[str]) -> DataFrame:
             .join(ndcg(bins, keys), keys))
 
 
+def rank_one(scores: np.ndarray, hits: np.ndarray, discounts: np.ndarray) -> tuple:
+    """EER, average precision and NDCG of one ranking held in memory.
+
+    The same rules as above for a query whose candidates fit one task;
+    ``discounts`` are the cumulative rank discounts, starting with 0.
+    """
+    values, where = np.unique(-scores, return_inverse=True)
+    pos = np.bincount(where, weights=hits, minlength=len(values))
+    size = np.bincount(where, minlength=len(values))
+    tps, upto = np.cumsum(pos), np.cumsum(size)
+    p, n = tps[-1], upto[-1] - tps[-1]
+    if p == 0:
+        return 1.0, 0.0, 0.0
+    ap = float((pos / p * tps / upto).sum())
+    gain = pos / size * (discounts[upto] - discounts[upto - size])
+    quality = float(gain.sum() / discounts[int(p)])
+    if n == 0:
+        return 1.0, ap, quality
+    fps = upto - tps
+    kept = np.ones(len(values), bool)
+    if len(values) > 2:
+        kept[1:-1] = (np.diff(tps, 2) != 0) | (np.diff(fps, 2) != 0)
+    fnr = np.r_[1.0, 1 - tps[kept] / p]
+    fpr = np.r_[0.0, fps[kept] / n]
+    at = int(np.argmin(np.round(np.abs(fnr - fpr), 12)))
+    return float((fnr[at] + fpr[at]) / 2), ap, quality
+
+
+def _fitting_metrics(docs: DataFrame, spaces: dict, digits: int) -> DataFrame:
+    """Leave-one-out metrics in several spaces, all candidates beside each task.
+
+    ``spaces`` maps a name to the directions documents are projected on, or to
+    None for the vectors as they are: ``(space, id, eer, ap, ndcg, sim)``.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+    schema = f"space double, id {kind}, eer double, ap double, ndcg double, sim double"
+    out = arrow_schema(schema)
+
+    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        ids = lt.column("id")
+        codes = pa.concat_arrays([t.column("author_id").combine_chunks() for t in (lt, rt)])
+        codes = codes.dictionary_encode().indices.to_numpy()
+        same = pa.concat_arrays([t.column("id").combine_chunks() for t in (lt, rt)])
+        same = same.dictionary_encode().indices.to_numpy()
+        left, right = matrix(lt), matrix(rt)
+        rows = len(left)
+        discounts = np.r_[0.0, np.cumsum(1 / np.log2(np.arange(1, len(right) + 1) + 1.0))]
+        found = []
+        for name, base in spaces.items():
+            a = unit_rows(left if base is None else left @ base.T)
+            b = unit_rows(right if base is None else right @ base.T)
+            for start in range(0, rows, TILE_ROWS):
+                scores = a[start:start + TILE_ROWS] @ b.T
+                grid = np.rint(scores * 10 ** digits)
+                for k in range(len(grid)):
+                    i = start + k
+                    keep = same[rows:] != same[i]
+                    found.append((name, i, *rank_one(
+                        grid[k][keep], (codes[rows:] == codes[i])[keep], discounts),
+                        float(scores[k].mean())))
+        names, at, *values = zip(*found)
+        return pa.table([pa.array(names, pa.float64()), ids.take(pa.array(at)),
+                         *[pa.array(v, pa.float64()) for v in values]], schema=out)
+
+    rows = docs.select("id", "author_id", "vector")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return product(rows.repartition(cores), rows, kernel, schema)
+
+
+def leave_one_out_metrics(docs: DataFrame, digits: int = DIGITS,
+                          block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """EER, AP and NDCG of each document as a query against all others.
+
+    ``docs(id, author_id, vector)``. When all documents fit one task beside
+    others they are ranked there; else they meet block by block and are ranked
+    from their counts per score. Returns ``(id, eer, ap, ndcg)``.
+    """
+    docs = settle(docs.select("id", "author_id", "vector"), "docs")
+    if fits_beside(docs, block_rows):
+        return _fitting_metrics(docs, {0.0: None}, digits).drop("space", "sim")
+    bins = settle(leave_one_out_bins(docs, digits, block_rows), "bins")
+    return ranking_metrics(bins, ["id"])
+
+
+def sweep_metrics(docs: DataFrame, spaces: dict, digits: int = DIGITS) -> DataFrame:
+    """Mean quality per space in one job, for documents that fit one task:
+    ``(space, eer, ap, ndcg, mean_sim)``."""
+    rows = _fitting_metrics(docs, spaces, digits)
+    return rows.groupBy("space").agg(
+        *[F.round(F.avg(c), 3).alias(c) for c in ("eer", "ap", "ndcg")],
+        F.round(F.avg("sim"), 3).alias("mean_sim"))
+
+
 def mean_similarity(docs: DataFrame) -> DataFrame:
     """Mean of the full cosine matrix, diagonal included, without forming pairs."""
     total = docs.agg(vector_sum(l2_normalize(F.col("vector"))).alias("s"),
@@ -159,12 +253,11 @@ def mean_similarity(docs: DataFrame) -> DataFrame:
                         .alias("mean_sim"))
 
 
-def model_performance(docs: DataFrame, digits: int = DIGITS) -> DataFrame:
+def model_performance(docs: DataFrame, digits: int = DIGITS,
+                      block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row of mean EER, AP, NDCG over documents and the mean similarity."""
-    from stylegraph.sources.staging import settle
-
-    bins = settle(leave_one_out_bins(docs, digits), "bins")
-    scores = ranking_metrics(bins, ["id"]).agg(
+    docs = settle(docs.select("id", "author_id", "vector"), "docs")
+    scores = leave_one_out_metrics(docs, digits, block_rows).agg(
         *[F.round(F.avg(c), 3).alias(c) for c in ("eer", "ap", "ndcg")])
     similarity = mean_similarity(docs).select(F.round("mean_sim", 3).alias("mean_sim"))
     return scores.withColumn("mean_sim", similarity.scalar())

@@ -2,44 +2,49 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from stylegraph.operators import cluster, metrics, sweep, tfidf
+from stylegraph.operators.blocks import fits_beside
 from stylegraph.plans import explain
 from stylegraph.sources.staging import settle
 
 
 def sweep_performance(docs: DataFrame, grid: list[float],
                       test: DataFrame | None = None) -> DataFrame:
-    """Retrieval quality and silhouette per threshold.
+    """Retrieval quality per threshold.
 
     ``docs(author_id, document_id, embedding)``; ``test`` defaults to the same
-    documents. One row ``(eps, eer, ap, ndcg, mean_sim, bases, silhouette)`` per
-    threshold; the distances are computed once for all of them.
+    documents. One row ``(eps, eer, ap, ndcg, mean_sim, bases)`` per threshold.
+    The distances are computed once for all thresholds. When the tested documents
+    and all centroids fit one task, one job ranks every threshold; else the
+    thresholds are evaluated one after the other.
     """
     means = settle(cluster.author_means(docs), "means")
-    points = settle(cluster.unit_points(means, "author_id"), "points")
-    labels = settle(cluster.eps_sweep(points, grid), "sweep")
+    points = cluster.unit_points(means, "author_id")
+    labels = settle(cluster.eps_sweep(points, grid).withColumnRenamed("id", "author_id"), "sweep")
+    centroids = settle(cluster.centroids(means, labels, ["eps"]), "centroids")
+    bases = centroids.groupBy("eps").agg(F.count(F.lit(1)).alias("bases"))
     tested = settle((test if test is not None else docs).select(
         F.col("document_id").alias("id"), "author_id",
         F.col("embedding").cast("array<double>").alias("vector")), "tested")
-    rows = None
-    for eps in grid:
-        here = settle(labels.filter(F.col("eps") == float(eps)).select("id", "cluster_label"),
-                      "labels")
-        centroids = settle(cluster.centroids(
-            means, here.withColumnRenamed("id", "author_id")), "centroids")
-        bases = explain.directions(centroids, normalize=False)
-        inner = explain.interpretable_vectors(tested.select("id", "vector"), bases)
-        inner = settle(inner.select("id", F.col("scores").alias("vector")).join(
-            tested.select("id", "author_id"), "id"), "interp")
-        quality = metrics.model_performance(inner)
-        shape = cluster.silhouette_cosine(points, here).select("silhouette")
-        row = (quality.withColumn("eps", F.lit(float(eps)))
-               .withColumn("bases", F.lit(centroids.count()))
-               .withColumn("silhouette", shape.scalar()))
-        rows = row if rows is None else rows.unionByName(row)
-    return settle(rows, "performance")
+    if fits_beside(tested) and fits_beside(centroids.select(F.col("centroid").alias("vector"))):
+        spaces: dict[float, list] = {}
+        for row in centroids.orderBy("eps", "cluster_label").toLocalIterator():
+            spaces.setdefault(row["eps"], []).append(row["centroid"])
+        quality = metrics.sweep_metrics(tested, {e: np.array(c) for e, c in spaces.items()})
+        quality = quality.withColumnRenamed("space", "eps")
+    else:
+        quality = None
+        for eps in grid:
+            here = explain.directions(centroids.filter(F.col("eps") == float(eps)), normalize=False)
+            inner = explain.interpretable_vectors(tested.select("id", "vector"), here)
+            inner = inner.select("id", F.col("scores").alias("vector")).join(
+                tested.select("id", "author_id"), "id")
+            row = metrics.model_performance(inner).withColumn("eps", F.lit(float(eps)))
+            quality = row if quality is None else quality.unionByName(row)
+    return settle(quality.join(bases, "eps"), "performance")
 
 
 def build_space(docs: DataFrame, assignments: DataFrame, eps: float | None = None,

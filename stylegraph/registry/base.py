@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stylegraph.sources.tables import read_table, spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -21,7 +23,12 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_table(self.spark, self.folder, name)
+
+    @property
+    def documents(self) -> DataFrame:
+        """Texts take long to process, so they are spread over the cores."""
+        return spread(read_table(self.spark, self.folder, "documents"))
 
     @property
     def docs(self) -> DataFrame:

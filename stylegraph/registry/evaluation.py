@@ -8,7 +8,7 @@ from stylegraph.functions import vectors as V
 from stylegraph.operators import cluster, metrics, sweep
 from stylegraph.plans import explain, space as plan
 from stylegraph.registry.base import Tables, query, r6, with_
-from stylegraph.registry.space import (CENTROIDS, PAIRS, author_labels, labels_cte, means_cte,
+from stylegraph.registry.space import (CENTROIDS, GRID, PAIRS, author_labels, labels_cte, means_cte,
                                        unit_docs)
 from stylegraph.sources.staging import settle
 
@@ -216,5 +216,4 @@ def _select_sweep_point(t: Tables):
 def _best_eps(t: Tables):
     """The whole sweep: cluster, project and rank at every eps."""
     docs = t.docs50.select("author_id", "document_id", "embedding")
-    performance = plan.sweep_performance(docs, [0.66, 0.70, 0.74, 0.78])
-    return sweep.best_eps(performance)
+    return sweep.best_eps(plan.sweep_performance(docs, GRID))
