@@ -6,6 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stylegraph.operators.skew import lookup_join
+
 # Names and wording that results and prompts must match.
 LEVELS = ["Morphological Level", "Syntactic Level", "Semantic Level", "Discourse Level"]
 DOCUMENT_SEPARATOR = " <new_documents> "
@@ -241,7 +243,7 @@ def is_sentence_finished(df: DataFrame, text: str, lexicon: DataFrame, tags: Dat
         .withColumn("_word", F.when(F.length(body) > 0, F.lower(last_word)).otherwise(F.lit(""))))
     known = lexicon.select(F.col("word").alias("_word"), F.lit(True).alias("_known"))
     tagged = tags.select(F.col("token").alias("_last"), F.col("tag").alias("_tag"))
-    rows = rows.join(known, "_word", "left").join(tagged, "_last", "left")
+    rows = lookup_join(lookup_join(rows, known, ["_word"], "left"), tagged, ["_last"], "left")
 
     def count(mark: str) -> Column:
         return F.length(raw) - F.length(F.replace(raw, F.lit(mark), F.lit("")))
@@ -284,7 +286,7 @@ def mine_phrases(features: DataFrame, lexicon: DataFrame, feature: str = "featur
     tag = F.coalesce(F.col("tag"), F.lit("X"))
     code = (F.when(F.col("token") == "is", "i").when(tag == "ADJ", "a").when(tag == "NOUN", "n")
             .when(tag == "ADV", "r").otherwise("x"))
-    rows = (spelled.join(lexicon.select("token", "tag"), "token", "left")
+    rows = (lookup_join(spelled, lexicon.select("token", "tag"), ["token"], "left")
             .groupBy("feature").agg(F.array_sort(F.collect_list(
                 F.struct("pos", "token", code.alias("code")))).alias("t")))
     codes = F.array_join(F.col("t.code"), "")

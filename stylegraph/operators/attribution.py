@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stylegraph.functions.vectors import l2_normalize, vector_mean
+from stylegraph.functions.vectors import dot, l2_normalize, vector_mean
 from stylegraph.operators import metrics
 from stylegraph.operators.blocks import (BLOCK_ROWS, TILE_ROWS, arrow_schema, matrix, product,
                                          top_matches)
@@ -64,35 +64,33 @@ def score_bins(queries: DataFrame, candidates: DataFrame, matches: DataFrame,
     ``2 * 10**digits + 1`` rows in the end.
     """
     q = settle(author_directions(queries), "queries")
-    c = author_directions(candidates)
-    hits = matches.select("query_author", F.col("candidate_author").alias("id")).distinct()
-    truth = hits.groupBy("id").agg(F.collect_set("query_author").alias("truth"))
-    c = settle(c.join(truth, "id", "left"), "candidates")
-    schema = "score double, pos bigint, neg bigint"
+    c = settle(author_directions(candidates), "candidates")
+    schema = "bin bigint, n bigint"
     out = arrow_schema(schema)
+    unit = 10 ** digits
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
         a, b = matrix(lt), matrix(rt)
-        place = {x: i for i, x in enumerate(lt.column("id").to_pylist())}
-        hit = np.zeros((len(a), len(b)), dtype=bool)
-        for j, listed in enumerate(rt.column("truth").to_pylist()):
-            for x in listed or ():
-                if x in place:
-                    hit[place[x], j] = True
-        unit = 10 ** digits
-        values, pos, total = [], [], []
+        bins, counts = [], []
         for start in range(0, len(a), TILE_ROWS):
-            grid = np.rint(a[start:start + TILE_ROWS] @ b.T * unit).astype(np.int64).ravel()
-            uniq, where = np.unique(grid, return_inverse=True)
-            values.append(uniq)
-            pos.append(np.bincount(where, weights=hit[start:start + TILE_ROWS].ravel(),
-                                   minlength=len(uniq)).astype(np.int64))
-            total.append(np.bincount(where, minlength=len(uniq)))
-        v, p, n = (np.concatenate(x) for x in (values, pos, total))
-        return pa.table([pa.array(v / unit + 0.0), pa.array(p), pa.array(n - p)], schema=out)
-
-    return product(q, c, kernel, schema, block_rows).groupBy("score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+            grid = np.rint(a[start:start + TILE_ROWS] @ b.T * unit).astype(np.int64)
+            uniq, n = np.unique(grid, return_counts=True)
+            bins.append(uniq)
+            counts.append(n)
+        return pa.table([pa.array(np.concatenate(bins)), pa.array(np.concatenate(counts))],
+                        schema=out)
+
+    cells = product(q, c, kernel, schema, block_rows).groupBy("bin").agg(F.sum("n").alias("n"))
+    hits = matches.select("query_author", "candidate_author").distinct()
+    hits = lookup_join(hits, q.select(F.col("id").alias("query_author"),
+                                      F.col("vector").alias("_q")), ["query_author"])
+    hits = lookup_join(hits, c.select(F.col("id").alias("candidate_author"),
+                                      F.col("vector").alias("_c")), ["candidate_author"])
+    found = hits.groupBy(F.rint(dot(F.col("_q"), F.col("_c")) * unit).cast("bigint").alias("bin")
+                         ).agg(F.count(F.lit(1)).alias("pos"))
+    both = cells.join(found, "bin", "left").withColumn("pos", F.coalesce("pos", F.lit(0)))
+    return both.select((F.col("bin") / unit + F.lit(0.0)).alias("score"), "pos",
+                       (F.col("n") - F.col("pos")).alias("neg"))
 
 
 def attribution_eer_auc(bins: DataFrame) -> DataFrame:

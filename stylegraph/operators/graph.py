@@ -18,7 +18,7 @@ from stylegraph.sources.staging import settle
 SMALL_EDGES = 200_000
 
 
-def _roots(n: int, pairs) -> list[int]:
+def roots(n: int, pairs) -> list[int]:
     """Union the index pairs; the root of a set is its smallest index."""
     parent = list(range(n))
 
@@ -59,7 +59,7 @@ def connected_components(edges: DataFrame, keys: list[str] | None = None,
             ends = pa.chunked_array(table.column("a").chunks + table.column("b").chunks)
             nodes = sorted(ends.unique().to_pylist())
             number = {x: i for i, x in enumerate(nodes)}
-            root = _roots(len(nodes), ((number[x], number[y]) for x, y in zip(
+            root = roots(len(nodes), ((number[x], number[y]) for x, y in zip(
                 table.column("a").to_pylist(), table.column("b").to_pylist())))
             fixed = [[table.column(k)[0].as_py()] * len(nodes) for k in keys]
             return pa.table([*[pa.array(f, out.field(i).type) for i, f in enumerate(fixed)],

@@ -34,13 +34,14 @@ def feature_idf(assignments: DataFrame) -> DataFrame:
 
 def attach_cluster(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Give each document the cluster of its author."""
-    return docs.join(labels.select("author_id", "cluster_label"), "author_id")
+    return lookup_join(docs, labels.select("author_id", "cluster_label"), ["author_id"])
 
 
 def cluster_style_counts(assignments: DataFrame, clustered_docs: DataFrame) -> DataFrame:
     """Rows per feature and cluster: ``(cluster_label, feature, n)``."""
     members = clustered_docs.select("document_id", "cluster_label")
-    return (assignments.filter(F.col("feature").isNotNull()).join(members, "document_id")
+    present = assignments.filter(F.col("feature").isNotNull())
+    return (lookup_join(present, members, ["document_id"])
             .groupBy("cluster_label", "feature").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -56,7 +57,7 @@ def cluster_tfidf_matrix(weights: DataFrame, idf: DataFrame) -> DataFrame:
     """Cells ``(cluster_label, feature_index, weight)`` of the cluster x vocabulary
     matrix; cells not listed are 0. The vocabulary is numbered in order."""
     vocabulary = global_index(idf.select("feature"), ["feature"], "feature_index")
-    return weights.join(vocabulary, "feature").select(
+    return lookup_join(weights, vocabulary, ["feature"]).select(
         "cluster_label", "feature_index", "weight")
 
 
@@ -65,7 +66,8 @@ def doc_feature_matrix(assignments: DataFrame, requested: DataFrame) -> DataFram
     matrix. A requested document without features has one row with no index."""
     present = assignments.filter(F.col("feature").isNotNull())
     vocabulary = global_index(present.select("feature").distinct(), ["feature"], "feature_index")
-    ones = present.distinct().join(vocabulary, "feature").select("document_id", "feature_index")
+    ones = lookup_join(present.select("document_id", "feature").distinct(), vocabulary,
+                       ["feature"]).select("document_id", "feature_index")
     return (requested.select("document_id").distinct().join(ones, "document_id", "left")
             .withColumn("value", F.when(F.col("feature_index").isNull(), 0).otherwise(1)
                         .cast("bigint")))

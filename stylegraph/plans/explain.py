@@ -66,14 +66,15 @@ def explain_prediction(docs: DataFrame, query_ids: DataFrame, matches: DataFrame
     latent_rank, interp_rank)`` and the candidates' scores on the query's closest
     clusters ``(query_id, candidate_id, rank, cluster_label, query_score, score)``.
     """
-    bases = directions(centroids)
-    interp = interpretable_vectors(docs, bases)
+    bases = settle(directions(centroids), "bases")
+    docs = settle(docs, "docs")
+    interp = settle(interpretable_vectors(docs, bases), "interp")
     both = docs.join(interp.select("id", "scores"), "id").select("id", "vector", "scores")
     q = both.select(F.col("id").alias("query_id"), F.col("vector").alias("qv"),
                     F.col("scores").alias("qs"))
     c = both.select(F.col("id").alias("candidate_id"), F.col("vector").alias("cv"),
                     F.col("scores").alias("cs"))
-    pairs = matches.join(q, "query_id").join(c, "candidate_id").select(
+    pairs = lookup_join(lookup_join(matches, q, ["query_id"]), c, ["candidate_id"]).select(
         "query_id", "candidate_id", F.round(cosine(F.col("qv"), F.col("cv")), 9).alias("latent"),
         F.round(cosine(F.col("qs"), F.col("cs")), 9).alias("interp"))
     ranks = pairs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stylegraph.functions import text as X
@@ -11,6 +13,8 @@ from stylegraph.registry.base import Tables, query, r6, with_
 from stylegraph.registry.space import _MEAN_ROWS, _long, space
 from stylegraph.registry.text import STYLES, lexicon_words
 from stylegraph.operators import tfidf
+from stylegraph.plans.styles import generate_styles
+from stylegraph.sources.staging import scratch_root
 
 
 def shout(instruction: str, text: str) -> str:
@@ -139,3 +143,23 @@ def _direction_delta(t: Tables):
     rows = docs.join(after, "document_id").select(
         F.col("label").cast("bigint").alias("style"), F.col("embedding").alias("original"), "rewritten")
     return _long(H.style_direction_delta(rows), "style", "vector")
+
+
+@query("generate_styles")
+def _generate_styles(t: Tables):
+    """All stages from documents to mined phrases."""
+    name = F.split("p_name", " ")
+    tags = (t.part.select(name[0].alias("token"), F.lit("ADJ").alias("tag"))
+            .union(t.part.select(name[1], F.lit("NOUN"))).distinct())
+    lexicon = tags.select(F.col("token").alias("word"))
+    wording = t.part.groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).orderBy("p_name")
+    styles = [r["p_name"] for r in wording.collect()]
+
+    def describe_by_length(instruction: str, text: str) -> str:
+        style = styles[len(text) % len(styles)]
+        return f"Here:\n\nSyntactic Level:\n\n- The author likes {style}.\n- The author uses {style} often."
+
+    path = f"{scratch_root(t.spark)}/stylegraph/styles-{uuid.uuid4().hex}"
+    docs = t.documents.select(F.col("doc_id").alias("document_id"), "text")
+    return generate_styles(docs, path, describe_by_length, lambda i, x: x.replace("[SENTENCE]: ", ""),
+                           lexicon, tags, 2, eps=1.0)

@@ -199,7 +199,7 @@ def _stage(t: Tables):
     WHERE conv_id NOT IN (SELECT doc_id FROM labels)""")
 def _resume(t: Tables):
     done = t.labels.select(F.col("doc_id").alias("conv_id"))
-    return S.resume_pending(t.conversations.select("conv_id", "turn"), done, "conv_id")
+    return S.resume_pending(t.conversations.select("conv_id", "turn"), done, ["conv_id"])
 
 
 @query("discover_role_files", """SELECT doc_id::VARCHAR AS document_id, source AS author_id,

@@ -72,15 +72,25 @@ def author_labels(t: Tables, eps: float = EPS, docs=None):
     return means, labels
 
 
-def space(t: Tables):
+def space_centroids(t: Tables):
     means, labels = author_labels(t)
-    centroids = settle(cluster.centroids(means, labels), "centroids")
+    return means, labels, settle(cluster.centroids(means, labels), "centroids")
+
+
+def space(t: Tables):
+    means, labels, centroids = space_centroids(t)
     docs = tfidf.attach_cluster(t.docs.select("document_id", "author_id"), labels)
-    weights = tfidf.cluster_tfidf(tfidf.cluster_style_counts(t.assignments, docs),
-                                  tfidf.feature_idf(t.assignments))
+    styles = style_table(t)
+    weights = tfidf.cluster_tfidf(tfidf.cluster_style_counts(styles, docs),
+                                  tfidf.feature_idf(styles))
     return means, labels, centroids, weights
 
 
+def style_table(t: Tables):
+    """The style assignments as a table, for jobs that read them several times."""
+    return settle(t.assignments.select("document_id", "feature"), "styles")
+
+
 def unit_docs(docs):
     """Documents as ``(id, vector)`` with the raw embedding."""
     return docs.select(F.col("document_id").alias("id"), F.col("embedding").alias("vector"))
@@ -291,8 +301,9 @@ def _cluster_style_counts(t: Tables):
 @query("cluster_tfidf", space_sql(IDF, COUNTS, WEIGHTS) + """
     SELECT cluster_label, feature, round(weight, 6) + 0.0 AS weight FROM weights""")
 def _cluster_tfidf(t: Tables):
-    counts = tfidf.cluster_style_counts(t.assignments, clustered_docs(t))
-    return tfidf.cluster_tfidf(counts, tfidf.feature_idf(t.assignments)).select(
+    styles = style_table(t)
+    counts = tfidf.cluster_style_counts(styles, clustered_docs(t))
+    return tfidf.cluster_tfidf(counts, tfidf.feature_idf(styles)).select(
         "cluster_label", "feature", r6("weight", "weight"))
 
 
@@ -300,8 +311,9 @@ def _cluster_tfidf(t: Tables):
     SELECT c.cluster_label, c.feature, round(ln(1 + c.n) * i.idf, 6) + 0.0 AS weight
     FROM counts c JOIN idf i ON i.feature = c.feature""")
 def _cluster_tfidf_log(t: Tables):
-    counts = tfidf.cluster_style_counts(t.assignments, clustered_docs(t))
-    return tfidf.cluster_tfidf(counts, tfidf.feature_idf(t.assignments), log_counts=True).select(
+    styles = style_table(t)
+    counts = tfidf.cluster_style_counts(styles, clustered_docs(t))
+    return tfidf.cluster_tfidf(counts, tfidf.feature_idf(styles), log_counts=True).select(
         "cluster_label", "feature", r6("weight", "weight"))
 
 
@@ -310,8 +322,9 @@ def _cluster_tfidf_log(t: Tables):
     SELECT w.cluster_label, v.feature_index, round(w.weight, 6) + 0.0 AS weight
     FROM weights w JOIN vocabulary v ON v.feature = w.feature""")
 def _cluster_tfidf_matrix(t: Tables):
-    idf = settle(tfidf.feature_idf(t.assignments), "idf")
-    counts = tfidf.cluster_style_counts(t.assignments, clustered_docs(t))
+    styles = style_table(t)
+    idf = settle(tfidf.feature_idf(styles), "idf")
+    counts = tfidf.cluster_style_counts(styles, clustered_docs(t))
     cells = tfidf.cluster_tfidf_matrix(tfidf.cluster_tfidf(counts, idf), idf)
     return cells.select("cluster_label", "feature_index", r6("weight", "weight"))
 
@@ -355,7 +368,7 @@ def _top_features_tfidf(t: Tables):
     FROM counts c JOIN idf i ON i.feature = c.feature WHERE c.cluster_label <> -1)
     WHERE feature_rank <= 5 AND feature <> 'nan'""")
 def _tfidf_representation(t: Tables):
-    return tfidf.tfidf_representation(t.assignments, clustered_docs(t), 5).select(
+    return tfidf.tfidf_representation(style_table(t), clustered_docs(t), 5).select(
         "cluster_label", "feature_rank", "feature", r6("weight", "weight"))
 
 
@@ -437,7 +450,7 @@ RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id
     SELECT d.document_id, b.cluster_label, round(list_dot_product(d.embedding, b.base), 6) + 0.0 AS score
     FROM docs d, bases b""")
 def _interpretable_vectors(t: Tables):
-    _, _, centroids, _ = space(t)
+    centroids = space_centroids(t)[2]
     rows = explain.score_rows(explain.interpretable_vectors(
         unit_docs(t.docs), explain.directions(centroids)))
     return rows.select(F.col("id").alias("document_id"), "cluster_label", r6("score", "score"))
@@ -446,7 +459,7 @@ def _interpretable_vectors(t: Tables):
 @query("rank_clusters", space_sql(BASES, SCORES, RANKED) + """
     SELECT document_id, rank, cluster_label, round(score, 6) + 0.0 AS score FROM ranked""")
 def _rank_clusters(t: Tables):
-    bases = explain.directions(space(t)[2])
+    bases = explain.directions(space_centroids(t)[2])
     return explain.rank_clusters(unit_docs(t.docs), bases, bases.count()).select(
         "document_id", "rank", "cluster_label", r6("score", "score"))
 
@@ -515,7 +528,7 @@ MATCHES = """asked AS (SELECT document_id AS query_id, author_id, (document_id /
 
 def prediction(t: Tables):
     """Each block of 20 documents: the first is the query, the others its candidates."""
-    _, _, centroids, _ = space(t)
+    centroids = space_centroids(t)[2]
     docs = t.docs.select("document_id", F.floor(F.col("document_id") / 20).alias("batch"))
     queries = docs.filter("document_id % 20 = 0").select(F.col("document_id").alias("query_id"), "batch")
     matches = (queries.join(docs, "batch").filter("document_id <> query_id")
@@ -607,7 +620,7 @@ def _representative(t: Tables):
     FROM chosen c JOIN places p ON p.author_id = c.author_id
     JOIN unit u ON u.document_id = c.document_id, bases b""")
 def _explain_prediction_authors(t: Tables):
-    bases = explain.directions(space(t)[2])
+    bases = explain.directions(space_centroids(t)[2])
     docs = t.docs.select("author_id", F.col("document_id").alias("id"),
                          F.col("embedding").alias("vector"))
     ranks = explain.author_similarity_ranks(docs, "src0", bases)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from stylegraph.operators.skew import lookup_join
+
 DOCUMENT = T.StructType([
     T.StructField("documentID", T.StringType()),
     T.StructField("authorIDs", T.ArrayType(T.StringType())),
@@ -81,7 +83,7 @@ def resolve_candidates(candidates: DataFrame, matches: DataFrame) -> DataFrame:
     """
     first = matches.groupBy("candidate_author").agg(
         F.min_by("query_author", "query_idx").alias("_query"))
-    return (candidates.join(first, "candidate_author", "left")
+    return (lookup_join(candidates, first, ["candidate_author"], "left")
             .withColumn("author_id", F.coalesce("_query", "candidate_author")).drop("_query"))
 
 
@@ -132,9 +134,9 @@ def write_scores(scores: DataFrame, path: str) -> None:
         "overwrite").parquet(path)
 
 
-def resume_pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
+def resume_pending(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Inputs that have no response yet."""
-    return inputs.join(done.select(key), key, "left_anti")
+    return inputs.join(done.select(*keys), keys, "left_anti")
 
 
 def read_role_files(spark: SparkSession, folder: str, role: str) -> DataFrame:
