@@ -131,7 +131,7 @@ def silhouette_cosine(points: DataFrame, labels: DataFrame, keep_noise: bool = F
     other = (near.join(own.select("id", "cluster_label"), "id")
              .filter("match <> cluster_label")
              .groupBy("id").agg(F.max("score").alias("best")))
-    inside = (1.0 - F.col("own")) * F.col("n") / (F.col("n") - 1)
+    inside = F.try_divide((1.0 - F.col("own")) * F.col("n"), F.col("n") - 1)
     outside = 1.0 - F.col("best")
     scored = own.join(other, "id", "left").select(
         "cluster_label",
@@ -144,7 +144,7 @@ def silhouette_cosine(points: DataFrame, labels: DataFrame, keep_noise: bool = F
         F.sum("s").alias("s"))
     usable = (F.col("clusters") > 1) & (F.col("clusters") < F.col("points"))
     return summary.select("clusters", "points", F.when(
-        usable, F.col("s") / F.col("points")).otherwise(0.0).alias("silhouette"))
+        usable, F.try_divide("s", "points")).otherwise(0.0).alias("silhouette"))
 
 
 def small_clusters(members: DataFrame, label: str = "cluster_label", below: int = 10) -> DataFrame:

@@ -53,7 +53,7 @@ def equal_error_rate(bins: DataFrame, keys: list[str]) -> DataFrame:
     turn = (F.col("tps_in") != F.col("tps_out")) | (F.col("fps_in") != F.col("fps_out"))
     kept = points.filter(edge | turn).select(
         *keys, F.col("score").alias("at"), "p", "n",
-        (1 - F.col("tps") / F.col("p")).alias("fnr"), (F.col("fps") / F.col("n")).alias("fpr"))
+        (1 - F.try_divide("tps", "p")).alias("fnr"), F.try_divide("fps", "n").alias("fpr"))
     # the origin has fnr 1 and fpr 0; it is met before every score
     gap = F.abs(F.col("fnr") - F.col("fpr"))
     first = F.min(F.when((F.col("p") > 0) & (F.col("n") > 0), F.struct(
@@ -66,7 +66,7 @@ def equal_error_rate(bins: DataFrame, keys: list[str]) -> DataFrame:
 
 def average_precision(bins: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of recall steps times precision over distinct scores; 0 without hits."""
-    part = F.col("pos") / F.col("p") * F.col("tps") / (F.col("tps") + F.col("fps"))
+    part = F.try_divide("pos", "p") * F.col("tps") / (F.col("tps") + F.col("fps"))
     return _cumulative(bins, keys).groupBy(*keys).agg(
         F.sum(F.when(F.col("pos") > 0, part).otherwise(0.0)).alias("ap"))
 
@@ -249,7 +249,7 @@ def mean_similarity(docs: DataFrame) -> DataFrame:
     """Mean of the full cosine matrix, diagonal included, without forming pairs."""
     total = docs.agg(vector_sum(l2_normalize(F.col("vector"))).alias("s"),
                      F.count(F.lit(1)).alias("n"))
-    return total.select((dot(F.col("s"), F.col("s")) / (F.col("n") * F.col("n")))
+    return total.select(F.try_divide(dot(F.col("s"), F.col("s")), F.col("n") * F.col("n"))
                         .alias("mean_sim"))
 
 
@@ -269,7 +269,7 @@ def auc(bins: DataFrame) -> DataFrame:
     below = bins.withColumn("below", F.coalesce(F.sum("neg").over(up), F.lit(0)))
     return below.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"),
                      F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
-        (F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))
+        F.try_divide(F.col("u"), F.col("p") * F.col("n")).alias("auc"))
 
 
 def balanced_accuracy(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
