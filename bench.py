@@ -30,15 +30,17 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
     spark = local_session(cpus, shuffle_partitions=cpus, memory="16g", app="bench")
     names = sys.argv[1:] or HEADLINE
-    QUERIES["author_mean_embedding"](spark, folder).write.format("noop").mode("overwrite").save()
-    taken = {}
-    for name in names:
+
+    def run(name: str) -> float:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-        taken[name] = round(time.perf_counter() - start, 3)
+        return round(time.perf_counter() - start, 3)
+
+    first = {name: run(name) for name in names}     # starts workers, compiles plans
+    taken = {name: run(name) for name in names}
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(taken.values()), 3), "unit": "sec",
-        "queries": taken, "sf": os.path.basename(folder).removeprefix("sf"), "cpus": cpus,
+        "queries": taken, "first_run": first, "sf": os.path.basename(folder).removeprefix("sf"), "cpus": cpus,
         "shuffle_partitions": cpus}))
 
 

@@ -77,7 +77,7 @@ def explain_prediction(docs: DataFrame, query_ids: DataFrame, matches: DataFrame
     pairs = lookup_join(lookup_join(matches, q, ["query_id"]), c, ["candidate_id"]).select(
         "query_id", "candidate_id", F.round(cosine(F.col("qv"), F.col("cv")), 9).alias("latent"),
         F.round(cosine(F.col("qs"), F.col("cs")), 9).alias("interp"))
-    ranks = pairs
+    ranks = settle(pairs, "pairs")
     for name in ("latent", "interp"):
         ranks = number_in_group(ranks.withColumn("_far", -F.col(name)), ["query_id"],
                                 ["_far", "candidate_id"], f"{name}_rank").drop("_far")
@@ -87,7 +87,7 @@ def explain_prediction(docs: DataFrame, query_ids: DataFrame, matches: DataFrame
         F.col("document_id").alias("query_id"), "rank", "cluster_label",
         F.col("score").alias("query_score"))
     long = score_rows(interp).select(F.col("id").alias("candidate_id"), "cluster_label", "score")
-    return ranks, scores_on_query_clusters(matches, closest, long)
+    return ranks, scores_on_query_clusters(matches, settle(closest, "closest"), long)
 
 
 def scores_on_query_clusters(matches: DataFrame, closest: DataFrame,
