@@ -28,8 +28,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: x / size)).otherwise(a)
+    # the length is bound once per row, not computed again for every element
+    scaled = F.transform(F.array(norm(a)), lambda n: F.when(
+        n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
+    return F.get(scaled, F.lit(0))
 
 
 def rescale_unit(a: Column) -> Column:
