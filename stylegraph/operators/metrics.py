@@ -158,6 +158,8 @@ def rank_one(scores: np.ndarray, hits: np.ndarray, discounts: np.ndarray) -> tup
     The same rules as above for a query whose candidates fit one task;
     ``discounts`` are the cumulative rank discounts, starting with 0.
     """
+    if not len(scores):
+        return 1.0, 0.0, 0.0
     values, where = np.unique(-scores, return_inverse=True)
     pos = np.bincount(where, weights=hits, minlength=len(values))
     size = np.bincount(where, minlength=len(values))
