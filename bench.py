@@ -1,5 +1,8 @@
 """Wall time of the headline queries; prints one JSON line.
 
+Every query runs twice: "queries" and "value" are the second, warm run,
+"first_run" is the first one in a fresh session.
+
 BENCH_SF_DIR   folder of the tables (default /root/testdata/sf0.1)
 BENCH_CPUS     cores of the local master (default all)
 """
@@ -41,7 +44,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(taken.values()), 3), "unit": "sec",
         "queries": taken, "first_run": first, "sf": os.path.basename(folder).removeprefix("sf"), "cpus": cpus,
-        "shuffle_partitions": cpus}))
+        "shuffle_partitions": cpus, "value_is": "second run of each query, warm session"}))
 
 
 if __name__ == "__main__":
