@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stylegraph.llm.mixing import mix
+from stylegraph.llm.packing import pack_documents
+from stylegraph.llm.quality_rules import quality_rules
+from stylegraph.llm.subwords import fit_quality, score_quality
 from stylegraph.llm.token_counts import count_tokens
+from stylegraph.llm.token_files import read_token_files, write_token_files
 from stylegraph.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +68,28 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_prefix_token_counts")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(documents(spark, folder), tokenizer("piece_bpe_32k.model"), 4096)
+
+
+@query("op3_pattern_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(documents(spark, folder), tokenizer("byte_bpe_50k.json"), 1024, 2)
+
+
+@query("op7_token_files")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = write_token_files(documents(spark, folder), tokenizer("byte_bpe_50k.json"), 0)
+    return read_token_files(manifest).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op4_quality_rules")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(documents(spark, folder), read_table(spark, folder, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "score")
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return score_quality(docs, fit_quality(docs, read_table(spark, folder, "labels")))
