@@ -1,0 +1,39 @@
+"""Connected components by contraction, in written rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from stylegraph.operators.skew import lookup_join
+from stylegraph.sources.staging import settle
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` for every end of ``edges(a, b)``; a component is its smallest node.
+
+    Each round points every node of the contracted graph at its smallest neighbour
+    (or at itself), follows that pointer twice, and keeps only edges between
+    different targets. No edges give no rows. A node may have any number of edges:
+    minima are formed before the shuffle and joins can be split.
+    """
+    links = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                   .filter("a < b").distinct(), "links")
+    labels = settle(links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                    .withColumn("component", F.col("node")), "labels")
+    while not links.isEmpty():
+        near = links.select(F.col("b").alias("node"), F.col("a").alias("to")).groupBy("node").agg(
+            F.min("to").alias("to"))
+        near = settle(near, "near")              # nodes without an entry stay where they are
+        onward = near.select(F.col("node").alias("to"), F.col("to").alias("_far"))
+        far = settle(near.join(onward, "to", "left").select(
+            "node", F.coalesce("_far", "to").alias("to")), "far")
+        labels = settle(lookup_join(labels, far.select(F.col("node").alias("component"), F.col("to").alias("_to")),
+                                    ["component"], "left")
+                        .select("node", F.coalesce("_to", "component").alias("component")), "labels")
+        moved = links
+        for end in ("a", "b"):
+            moved = lookup_join(moved, far.select(F.col("node").alias(end), F.col("to").alias("_to")),
+                                [end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        links = settle(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                       .filter("a < b").distinct(), "links")
+    return labels

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stylegraph.llm.mixing import mix
+from stylegraph.llm.near_dups import near_duplicates
 from stylegraph.llm.packing import pack_documents
 from stylegraph.llm.quality_rules import quality_rules
 from stylegraph.llm.subwords import fit_quality, score_quality
@@ -93,3 +94,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return score_quality(docs, fit_quality(docs, read_table(spark, folder, "labels")))
+
+
+@query("op9_circulant_minhash")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder), words=2, percent=80)
