@@ -13,6 +13,7 @@ from stylegraph.llm.quality_rules import quality_rules
 from stylegraph.llm.subwords import fit_quality, score_quality
 from stylegraph.llm.token_counts import count_tokens
 from stylegraph.llm.token_files import read_token_files, write_token_files
+from stylegraph.llm.vector_dups import vector_duplicates
 from stylegraph.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +100,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_circulant_minhash")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder), words=2, percent=80)
+
+
+@query("op5_multi_index_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_duplicates(spread(read_table(spark, folder, "embeddings")), 0.93)
