@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stylegraph.llm.mixing import mix
 from stylegraph.llm.near_dups import near_duplicates
 from stylegraph.llm.packing import pack_documents
+from stylegraph.llm.personal_data import find_personal_data, summary
 from stylegraph.llm.quality_rules import quality_rules
 from stylegraph.llm.subwords import fit_quality, score_quality
 from stylegraph.llm.token_counts import count_tokens
@@ -105,3 +106,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_multi_index_dedup")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return vector_duplicates(spread(read_table(spark, folder, "embeddings")), 0.93)
+
+
+@query("op2_contextual_pii")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return summary(find_personal_data(documents(spark, folder)))
