@@ -14,6 +14,7 @@ from stylegraph.llm.quality_rules import quality_rules
 from stylegraph.llm.subwords import fit_quality, score_quality
 from stylegraph.llm.token_counts import count_tokens
 from stylegraph.llm.token_files import read_token_files, write_token_files
+from stylegraph.llm.url_filters import judge_urls, oracle_sql
 from stylegraph.llm.vector_dups import vector_duplicates
 from stylegraph.sources.tables import read_table, spread
 
@@ -111,3 +112,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_contextual_pii")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return summary(find_personal_data(documents(spark, folder)))
+
+
+@query("op10_link_graph_filter", oracle_sql())
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spread(read_table(spark, folder, "pages"))
+    return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
