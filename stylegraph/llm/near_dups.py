@@ -290,3 +290,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
                        ["node"], counted="_n").select("doc_id", "n_shingles", "component_id")
     empty = signed.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the document with the smallest id.
+
+    Rows that repeat id and text count as one; rows without an id stay. Rows that go
+    are found by their ids, which travel with the tasks while they fit and are
+    joined by a shuffle beyond ``BROADCAST_IDS``.
+    """
+    found = settle(near_duplicates(docs, words, percent), "judged")
+    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(
+        F.max(F.col("kept").cast("int")).alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    ids = settle(ids.filter("_kept = 0 or _n > 1").withColumnRenamed("doc_id", "_id"), "marked")
+
+    def sized(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+    same = F.col("doc_id") == F.col("_id")
+    rest = docs.join(sized(ids.filter("_kept = 0").select("_id")), same, "left_anti")
+    again = ids.filter("_kept = 1").select("_id")
+    if again.isEmpty():
+        return rest
+    again = sized(again)
+    return rest.join(again, same, "left_anti").unionByName(
+        rest.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
