@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stylegraph.operators.skew import lookup_join
 from stylegraph.sources.staging import settle
 
 
@@ -27,13 +26,14 @@ def components(edges: DataFrame) -> DataFrame:
         onward = near.select(F.col("node").alias("to"), F.col("to").alias("_far"))
         far = settle(near.join(onward, "to", "left").select(
             "node", F.coalesce("_far", "to").alias("to")), "far")
-        labels = settle(lookup_join(labels, far.select(F.col("node").alias("component"), F.col("to").alias("_to")),
-                                    ["component"], "left")
+        # a written table on each side: adaptive execution can split or broadcast these joins
+        labels = settle(labels.join(far.select(F.col("node").alias("component"), F.col("to").alias("_to")),
+                                    "component", "left")
                         .select("node", F.coalesce("_to", "component").alias("component")), "labels")
         moved = links
         for end in ("a", "b"):
-            moved = lookup_join(moved, far.select(F.col("node").alias(end), F.col("to").alias("_to")),
-                                [end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+            moved = moved.join(far.select(F.col("node").alias(end), F.col("to").alias("_to")),
+                               end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
         links = settle(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                        .filter("a < b").distinct(), "links")
     return labels

@@ -222,6 +222,18 @@ def verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return tasks.join(sets, "node").groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
+def to_leaders(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs ``(leader, node)`` of one leader per bucket with its other components' members, sizes permitting."""
+    leaders = members.groupBy("key").agg(F.min(F.struct(
+        F.xxhash64(F.col("node"), F.lit(turn)).alias("h"), F.col("node").alias("leader"),
+        F.col("n").alias("leader_n"), F.col("component").alias("leader_component"))).alias("_l"),
+        F.count(F.lit(1)).alias("_n")).select("key", "_l.leader", "_l.leader_n", "_l.leader_component", "_n")
+    return (lookup_join(members, leaders, ["key"], counted="_n")
+            .filter("component <> leader_component and "
+                    f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
+            .select("leader", "node").distinct())
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32,
                     rows: int = 4) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least ``percent``.
@@ -255,29 +267,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     open_ = buckets.withColumn("component", F.col("node"))
     edges, found = None, None
     for turn in range(LEADER_ROUNDS + 1):
+        last = False
         if turn:
             joined = lookup_join(buckets, found.withColumnRenamed("component", "_c"), ["node"], "left")
             joined = joined.select("key", "node", "n", F.coalesce("_c", "node").alias("component"))
-            mixed = joined.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"),
-                                              F.count(F.lit(1)).alias("_n")).filter("_a < _b")
-            open_ = settle(lookup_join(joined, mixed.select("key", "_n"), ["key"], counted="_n").drop("_n"), "open")
-            if open_.isEmpty():
+            mixed = settle(joined.groupBy("key").agg(
+                F.min("component").alias("_a"), F.max("component").alias("_b"),
+                F.count(F.lit(1)).alias("_n")).filter("_a < _b").select("key", "_n"), "mixed")
+            largest = mixed.agg(F.max("_n")).first()[0]
+            if largest is None:
                 break
-        if turn < LEADER_ROUNDS:
-            leaders = open_.groupBy("key").agg(F.min(F.struct(
-                F.xxhash64(F.col("node"), F.lit(turn)).alias("h"), F.col("node").alias("leader"),
-                F.col("n").alias("leader_n"), F.col("component").alias("leader_component"))).alias("_l"),
-                F.count(F.lit(1)).alias("_n")).select("key", "_l.leader", "_l.leader_n", "_l.leader_component", "_n")
-            pairs = (lookup_join(open_, leaders, ["key"], counted="_n")
-                     .filter("component <> leader_component and "
-                             f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
-                     .select("leader", "node").distinct())
-            new = verify_stars(settle(pairs, "pairs"), sets, percent)
-        else:
-            new = verify_blocks(open_, sets, percent)
+            open_ = settle(lookup_join(joined, mixed, ["key"], counted="_n").drop("_n"), "open")
+            last = largest <= BLOCK or turn == LEADER_ROUNDS      # leaders pay off in large buckets only
+        new = verify_blocks(open_, sets, percent) if last else verify_stars(
+            settle(to_leaders(open_, turn, percent), "pairs"), sets, percent)
         new = settle(new, "edges")
         edges = new if edges is None else edges.unionByName(new)
         found = components(edges)
+        if last:
+            break
 
     named = lookup_join(nodes.select("node", "id"), found.withColumnRenamed("component", "_c"), ["node"], "left")
     named = settle(named.select("node", "id", F.coalesce("_c", "node").alias("component")), "named")
