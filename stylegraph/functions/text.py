@@ -61,12 +61,12 @@ TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def words(text: Column) -> Column:
-    """Whitespace separated words; none for blank text."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    """Words between white space of any script; none for blank text."""
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
 def tokens(text: Column) -> Column:

@@ -32,12 +32,15 @@ class Tables:
 
     @property
     def docs(self) -> DataFrame:
-        """Documents with a vector; the source plays the author."""
-        e = self.embeddings.select(F.col("vec_id").alias("document_id"), "label",
-                                   F.col("embedding").cast("array<double>").alias("embedding"))
+        """Every document with a vector, given or made from its text; the source plays the author."""
+        e = self.embeddings.select(F.col("vec_id").alias("document_id"), F.col("label").alias("_label"),
+                                   F.col("embedding").cast("array<double>").alias("_given"))
         d = self.documents.select(F.col("doc_id").alias("document_id"),
                                   F.col("source").alias("author_id"), "text")
-        return d.join(e, "document_id")
+        return d.join(e, "document_id", "left").select(
+            "document_id", "author_id", "text",
+            F.coalesce("_label", (F.col("document_id") % 10).cast("int")).alias("label"),
+            F.coalesce("_given", text_vector(F.col("text"))).alias("embedding"))
 
     @property
     def docs50(self) -> DataFrame:
@@ -57,17 +60,31 @@ class Tables:
 
     @property
     def features(self) -> DataFrame:
-        """First line of every conversation turn, as style sentences."""
-        from stylegraph.functions.text import first_line
+        """Every conversation turn, whole, as a style sentence."""
+        from stylegraph.functions.text import strip
         return self.conversations.select(
-            F.col("conv_id").alias("document_id"), "turn",
-            first_line(F.col("text")).alias("feature"))
+            F.col("conv_id").alias("document_id"), "turn", strip(F.col("text")).alias("feature"))
+
+
+def text_vector(text):
+    """A stand-in for an encoder that SQL can compute too: 64 numbers from hashes of the text.
+
+    Equal texts get equal vectors; different ones are as far apart as the given random vectors.
+    """
+    text = F.coalesce(text, F.lit(""))
+    digits = F.concat(*[F.md5(F.concat(text, F.lit(str(k)))) for k in range(4)])
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(
+        F.substr(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("double") - 127.5)
 
 
 CTE = {
-    "docs": """docs AS (SELECT d.doc_id AS document_id, d.source AS author_id, d.text,
-        e.embedding::DOUBLE[] AS embedding, e.label
-        FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)""",
+    "docs": """docs AS (SELECT document_id, author_id, text, coalesce(label, (document_id % 10)::INT) AS label,
+        coalesce(given, list_transform(generate_series(0, 63),
+            lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::INT::DOUBLE - 127.5)) AS embedding
+        FROM (SELECT d.doc_id AS document_id, d.source AS author_id, d.text, e.label, e.embedding::DOUBLE[] AS given,
+            md5(coalesce(d.text, '') || '0') || md5(coalesce(d.text, '') || '1') || md5(coalesce(d.text, '') || '2')
+            || md5(coalesce(d.text, '') || '3') AS digits
+            FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id))""",
     "docs50": """docs50 AS (SELECT vec_id AS document_id, vec_id % 50 AS author_id,
         (vec_id // 50) % 2 AS side, label, embedding::DOUBLE[] AS embedding FROM embeddings)""",
     "assignments": r"""assignments AS (SELECT document_id, pos, feature FROM (
@@ -76,8 +93,7 @@ CTE = {
         FROM (SELECT doc_id, string_split_regex(trim(lower(text)), '\s+') AS w FROM documents))
         WHERE feature <> '')""",
     "features": r"""features AS (SELECT conv_id AS document_id, turn,
-        regexp_replace(string_split(text, chr(10))[1], '^\s+|\s+$', '', 'g') AS feature
-        FROM conversations)""",
+        regexp_replace(text, '^\s+|\s+$', '', 'g') AS feature FROM conversations)""",
 }
 
 

@@ -394,11 +394,11 @@ def _doc_feature_lists(t: Tables):
 
 
 @query("attach_doc_styles", with_("assignments") + """
-    SELECT e.vec_id AS document_id, coalesce(l.features, []) AS features FROM embeddings e
+    SELECT d.doc_id AS document_id, coalesce(l.features, []) AS features FROM documents d
     LEFT JOIN (SELECT document_id, list(feature ORDER BY pos) AS features
-        FROM assignments GROUP BY document_id) l ON l.document_id = e.vec_id""")
+        FROM assignments GROUP BY document_id) l ON l.document_id = d.doc_id""")
 def _attach_doc_styles(t: Tables):
-    docs = t.embeddings.select(F.col("vec_id").alias("document_id"))
+    docs = t.documents.select(F.col("doc_id").alias("document_id"))
     return tfidf.attach_doc_styles(docs, tfidf.doc_feature_lists(t.assignments))
 
 
@@ -417,11 +417,11 @@ def _cluster_documents_list(t: Tables):
 
 
 @query("docs_with_styles", with_("assignments") + """
-    SELECT vec_id AS document_id FROM embeddings
-    WHERE vec_id IN (SELECT document_id FROM assignments)""")
+    SELECT doc_id AS document_id FROM documents
+    WHERE doc_id IN (SELECT document_id FROM assignments)""")
 def _docs_with_styles(t: Tables):
     return tfidf.docs_with_styles(
-        t.embeddings.select(F.col("vec_id").alias("document_id")), t.assignments)
+        t.documents.select(F.col("doc_id").alias("document_id")), t.assignments)
 
 
 @query("cluster_feature_set", space_sql(COUNTS) + "SELECT DISTINCT cluster_label, feature FROM counts")
@@ -630,18 +630,16 @@ def _explain_prediction_authors(t: Tables):
                     r6("score", "score")))
 
 
-@query("ranked_features", space_sql(IDF, COUNTS, WEIGHTS, BASES, SCORES, TOP, REPRESENTATIVE) + """
+@query("ranked_features", space_sql(IDF, COUNTS, WEIGHTS, BASES, SCORES, REPRESENTATIVE) + """
     SELECT c.document_id, t.feature, round(sum((list_dot_product(d.embedding, b.base)
         / sqrt(list_dot_product(d.embedding, d.embedding)) + 1) / 2 * t.weight)
         / (SELECT count(*) FROM bases), 6) + 0.0 AS weight
     FROM chosen c JOIN docs d ON d.document_id = c.document_id, bases b
-    JOIN top t ON t.cluster_label = b.cluster_label GROUP BY 1, 2""")
+    JOIN weights t ON t.cluster_label = b.cluster_label GROUP BY 1, 2""")
 def _ranked_features(t: Tables):
     _, _, centroids, weights = space(t)
     docs = t.docs.select("author_id", F.col("document_id").alias("id"),
                          F.col("embedding").alias("vector"))
     scores = explain.author_cluster_scores(docs, explain.directions(centroids))
-    top = tfidf.best_first(weights.filter("cluster_label <> -1"), "cluster_label", "weight",
-                           "feature", 5)
-    return explain.ranked_features(scores, top).select(
+    return explain.ranked_features(scores, weights.filter("cluster_label <> -1")).select(
         "document_id", "feature", r6("weight", "weight"))

@@ -22,9 +22,11 @@ TURNS = """turns AS (SELECT a.document_id, a.turn, a.feature, b.feature AS next
     JOIN features b ON b.document_id = a.document_id AND b.turn = a.turn + 1)"""
 
 
-@query("first_line", with_("features") + "SELECT document_id, turn, feature FROM features")
+@query("first_line", r"""SELECT conv_id AS document_id, turn,
+    regexp_replace(string_split(text, chr(10))[1], '^\s+|\s+$', '', 'g') AS feature FROM conversations""")
 def _first_line(t: Tables):
-    return t.features
+    return t.conversations.select(F.col("conv_id").alias("document_id"), "turn",
+                                  X.first_line(F.col("text")).alias("feature"))
 
 
 @query("word_difference", with_("features", extra=TURNS) + r"""
