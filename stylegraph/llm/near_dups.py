@@ -191,13 +191,21 @@ def verify_stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges between different components inside each bucket of ``members(key, node, n, component)``.
 
-    A bucket is dealt into chunks of about ``BLOCK`` rows; a task compares two chunks.
+    A bucket is dealt into chunks of about ``BLOCK`` rows; a task compares two chunks. In a
+    large bucket the rows of its largest component meet only the others.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = parts.groupBy("key").agg(F.max(F.struct("_n", "component")).alias("_m"), F.sum("_n").alias("_n")).select(
+        "key", "_n", F.when(F.col("_n") > BLOCK, F.col("_m.component")).alias("_main"),
+        F.when(F.col("_n") > BLOCK, F.col("_m._n")).otherwise(0).alias("_size"))
+    chunks = lambda n: F.ceil(n / BLOCK).cast("int")
     dealt = (lookup_join(members, sizes, ["key"], counted="_n")
-             .withColumn("_c", F.ceil(F.col("_n") / BLOCK).cast("int"))
-             .withColumn("_x", F.pmod(F.xxhash64("node"), F.col("_c")).cast("int")))
-    tasks = dealt.select("key", "node", "n", "component", "_x", F.explode(F.expr("sequence(0, _c - 1)")).alias("_y"))
+             .withColumn("_most", F.col("component").eqNullSafe(F.col("_main")))
+             .withColumn("_few", chunks(F.col("_n") - F.col("_size"))).withColumn("_many", chunks(F.col("_size")))
+             .withColumn("_x", F.when(F.col("_most"), F.col("_few") + F.pmod(F.xxhash64("node"), F.col("_many")))
+                         .otherwise(F.pmod(F.xxhash64("node"), F.col("_few"))).cast("int"))
+             .withColumn("_last", F.when(F.col("_most"), F.col("_few") - 1).otherwise(F.col("_few") + F.col("_many") - 1)))
+    tasks = dealt.select("key", "node", "component", "_x", F.explode(F.expr("sequence(0, _last)")).alias("_y"))
     tasks = tasks.select("key", F.least("_x", "_y").alias("i"), F.greatest("_x", "_y").alias("j"),
                          "node", "component", F.col("_x").alias("chunk"))
 

@@ -112,7 +112,7 @@ def test_plan_is_the_same_at_any_scale():
     histogram = {int(k): int(n) for k, n in zip(range(1, 257), rng.integers(1, 100, 256))}
     large = {k: 1000 * n for k, n in histogram.items()}
     plan = plan_packing(large, 256)
-    assert sum(t for _, t in plan) <= 1.01 * lower_bound(large, 256)
+    assert sum(t for _, t in plan) <= 1.02 * lower_bound(large, 256)
     assert len(plan) < 20_000
 
 
