@@ -32,6 +32,7 @@ INSTRUCTIONS = {
     "to_concise_paragraph": "Please rewrite the following list of writing style bullet points into a 1 to 3 sentences in the form of 'The author is X'",
     "to_sentence": "You are provided with a list of paragraphs which are describing the writing styles of a set of documents. Please rewrite and summarize the list of paragraphs into 2-3 sentences.",
     "common": "Please describe the common writing styles of the two texts on the following linguistic levels:\n1. Morphological level\n2. Syntactic level\n3. Semantic level\n4. Discourse level",
+    "select": "Please select which of the following writing style attributes are the common attributes of the provided texts.\nWriting Style Attributes:\n{}",
     "rate": "You are a linguist expert. Your task is to read the text, and for each of the writing style features, give a score from 1 to 3. \n Score 1: The feature doesn't apply anywhere in the text \n Score 2: The feature appears somewhere in the text but not frequent \n Score 3: The feature often appears in the text",
 }
 UNFINISHED_TAGS = ["CCONJ", "SCONJ", "ADP", "PART", "DET", "PRON", "AUX", "INTJ", "ADJ", "ADV",

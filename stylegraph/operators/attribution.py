@@ -178,8 +178,8 @@ def split_matches(matches: DataFrame, split: DataFrame) -> DataFrame:
 
 
 def attribute_and_evaluate(queries: DataFrame, candidates: DataFrame, matches: DataFrame,
-                           path: str, k: int = 100) -> DataFrame:
-    """Write the best candidates of every query author and return EER and AUC."""
+                           path: str, k: int) -> DataFrame:
+    """Write the ``k`` best candidates of every query author and return EER and AUC over all pairs."""
     from stylegraph.sources.documents import write_scores
 
     write_scores(author_pair_score(queries, candidates, k), path)

@@ -120,9 +120,7 @@ def describe_cluster_styles(groups: DataFrame, generate: Generator,
     instruction = X.INSTRUCTIONS["common"]
     if styles:
         listed = "\n".join(" - " + s.replace(".", "") for s in styles)
-        instruction = ("Please select which of the following writing style attributes are the "
-                       "common attributes of the provided texts.\n"
-                       f"Writing Style Attributes:\n{listed}")
+        instruction = X.INSTRUCTIONS["select"].replace("{}", listed)
     asked = ask(groups, instruction, X.numbered_concat(F.col("texts")), generate)
     return asked.withColumn("style_list", X.extract_markdown_attributes(F.col("generations")))
 

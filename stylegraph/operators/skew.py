@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from stylegraph.sources.staging import settle
 
 # A key is hot from this many rows on; below it a single task copes easily.
 HOT_ROWS = 1_000_000
-# Upper bound on hot keys, hence on the broadcast that serves them.
+# Upper bounds on hot keys and on the bytes of their rows, hence on the broadcast that serves them.
 MAX_HOT_KEYS = 50_000
+MAX_HOT_BYTES = 64 << 20
 # Rows one task may number on its own.
 SMALL_ROWS = 100_000
 
@@ -29,8 +30,12 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     lookup = settle(lookup, "lookup")
     if counted is None:
         return rows.join(lookup, keys, how)
-    total, largest = lookup.agg(F.sum(counted), F.max(counted)).first()
-    threshold = max(hot_rows, (total or 0) // MAX_HOT_KEYS)
+    # flat columns are taken as 32 bytes each, lists by their longest
+    lists = [f.name for f in lookup.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType))]
+    total, largest, *longest = lookup.agg(F.sum(counted), F.max(counted), *[
+        F.max(F.size(F.col(f"`{c}`"))) for c in lists]).first()
+    row_bytes = 32 * len(lookup.columns) + 16 * sum(max(n or 0, 0) for n in longest)
+    threshold = max(hot_rows, (total or 0) // min(MAX_HOT_KEYS, max(MAX_HOT_BYTES // row_bytes, 1)))
     if (largest or 0) <= threshold:
         return rows.join(lookup, keys, how)
     hot = F.broadcast(lookup.filter(F.col(counted) > threshold))

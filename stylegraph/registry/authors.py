@@ -89,7 +89,7 @@ def _eer_auc(t: Tables):
 @query("attribute_then_explain", _AUC)
 def _attribute(t: Tables):
     path = f"{scratch_root(t.spark)}/stylegraph/scores-{uuid.uuid4().hex}"
-    return A.attribute_and_evaluate(*sides(t), truth(t), path).select(r6("eer", "eer"), r6("auc", "auc"))
+    return A.attribute_and_evaluate(*sides(t), truth(t), path, 50).select(r6("eer", "eer"), r6("auc", "auc"))
 
 
 @query("training_pairs", with_("docs50") + """SELECT 'query' AS kind, author_id AS query_author,
