@@ -38,8 +38,10 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 def rule_table(spark, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """``rule_host, rule_path, rule, rule_verdict``; any table of this form will do."""
-    rows = [(lowered_text(r.partition("/")[0]), "/" + r.partition("/")[2], r, v) for v, r in rules]
-    return spark.createDataFrame(rows, "rule_host string, rule_path string, rule string, rule_verdict string")
+    kind = "array<struct<rule_host:string,rule_path:string,rule:string,rule_verdict:string>>"
+    rows = F.array(*[F.struct(*map(F.lit, (lowered_text(r.partition("/")[0]), "/" + r.partition("/")[2], r, v)))
+                     for v, r in rules]).cast(kind)
+    return spark.range(1).select(F.inline(rows))
 
 
 def lowered_text(host: str) -> str:
