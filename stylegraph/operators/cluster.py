@@ -7,21 +7,16 @@ distances answers every eps at once.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stylegraph.functions.vectors import dot, l2_normalize, vector_mean, vector_sum
 from stylegraph.operators import blocks
-from stylegraph.operators.graph import (SMALL_EDGES, connected_components, grow_forest, roots,
-                                        spanning_forest)
+from stylegraph.operators.graph import connected_components, spanning_forest
 from stylegraph.operators.similarity import Distance, cosine_distance, forest_edges
 from stylegraph.operators.skew import global_index, lookup_join, number_in_group
 from stylegraph.sources.staging import settle
 
 NOISE = -1
-# Points one task may label alone.
-SMALL_POINTS = 2048
 
 
 def author_means(docs: DataFrame, author: str = "author_id",
@@ -48,35 +43,11 @@ def _label(nodes: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
                         F.coalesce(F.col("cluster_label"), F.lit(NOISE)).cast("bigint")))
 
 
-def _dbscan_in_task(points: DataFrame, eps: float, distance: Distance) -> DataFrame:
-    kind = points.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, cluster_label bigint"
-    out = blocks.arrow_schema(schema)
-
-    def solve(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        m = blocks.matrix(table)
-        a, b, _ = grow_forest(len(m), lambda i: distance(m[i:i + 1], m)[0], eps)
-        root = np.array(roots(len(m), zip(a, b)))
-        heads, group, size = np.unique(root, return_inverse=True, return_counts=True)
-        number = np.where(size > 1, np.cumsum(size > 1) - 1, NOISE)
-        return pa.table([table.column("id"), pa.array(number[group])], schema=out)
-
-    return points.withColumn("_k", F.lit(0)).groupBy("_k").applyInArrow(solve, schema)
-
-
 def dbscan(points: DataFrame, eps: float, distance: Distance = cosine_distance,
-           block_rows: int = blocks.BLOCK_ROWS, small_edges: int = SMALL_EDGES,
-           small_points: int = SMALL_POINTS) -> DataFrame:
-    """Labels ``(id, cluster_label)`` of ``points(id, vector)``; -1 is noise.
-
-    Up to ``small_points`` points are labelled by one task.
-    """
+           block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """Labels ``(id, cluster_label)`` of ``points(id, vector)``; -1 is noise."""
     points = settle(points.select("id", "vector"), "points")
-    if points.count() <= small_points:
-        return _dbscan_in_task(points, eps, distance)
-    edges = forest_edges(points, eps, distance, block_rows)
-    members = connected_components(edges, small_edges=small_edges)
+    members = connected_components(forest_edges(points, eps, distance, block_rows))
     return _label(points.select("id"), members, [])
 
 

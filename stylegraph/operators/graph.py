@@ -1,7 +1,7 @@
 """Components and spanning forests of large edge tables.
 
-Small graphs (by a checked edge count) are finished in one task; anything larger
-runs as rounds of grouping and joining, each round written to the shared folder.
+Both run as rounds of grouping and joining, each round written to the shared folder;
+a spanning forest of few edges (by a checked count) is finished in one task.
 """
 
 from __future__ import annotations
@@ -18,86 +18,40 @@ from stylegraph.sources.staging import settle
 SMALL_EDGES = 200_000
 
 
-def roots(n: int, pairs) -> list[int]:
-    """Union the index pairs; the root of a set is its smallest index."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in pairs:
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    return [root(x) for x in range(n)]
-
-
-def connected_components(edges: DataFrame, keys: list[str] | None = None,
-                         small_edges: int = SMALL_EDGES,
-                         hot_rows: int = HOT_ROWS) -> DataFrame:
+def connected_components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Components of ``edges(*keys, a, b)`` as ``(*keys, node, component)``.
 
     A component is named by its smallest node. Graphs under different ``keys``
-    are independent and solved together.
+    are independent and solved together. Each round points every node of the contracted
+    graph at its smallest neighbour, follows that pointer twice and keeps the edges between
+    different targets; a round's tables are written, so joins can be split or broadcast by
+    their real sizes.
     """
     keys = list(keys or [])
-    edges = edges.select(*keys, "a", "b").filter("a <> b")
-    if not keys:
-        return connected_components(edges.withColumn("_k", F.lit(0)), ["_k"],
-                                    small_edges, hot_rows).drop("_k")
-    edges = settle(edges.distinct(), "edges")
-    node_type = edges.schema["a"].dataType.simpleString()
-    if edges.count() <= small_edges:
-        head = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys)
-        schema = f"{head}, node {node_type}, component {node_type}"
-        out = arrow_schema(schema)
 
-        def solve(table: pa.Table) -> pa.Table:
-            ends = pa.chunked_array(table.column("a").chunks + table.column("b").chunks)
-            nodes = sorted(ends.unique().to_pylist())
-            number = {x: i for i, x in enumerate(nodes)}
-            root = roots(len(nodes), ((number[x], number[y]) for x, y in zip(
-                table.column("a").to_pylist(), table.column("b").to_pylist())))
-            fixed = [[table.column(k)[0].as_py()] * len(nodes) for k in keys]
-            return pa.table([*[pa.array(f, out.field(i).type) for i, f in enumerate(fixed)],
-                             pa.array(nodes, out.field("node").type),
-                             pa.array([nodes[r] for r in root], out.field("node").type)],
-                            schema=out)
-
-        return edges.groupBy(*keys).applyInArrow(solve, schema)
-
-    # Stars: alternate pulling larger and smaller neighbours to the local minimum
-    # until every node points at the smallest node of its component.
-    links = edges.select(*keys, F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-    mark = None
-    while True:
-        both = links.select(*keys, F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
-            links.select(*keys, F.col("lo").alias("u"), F.col("hi").alias("v")))
-        smallest = both.groupBy(*keys, "u").agg(F.min("v").alias("_v"), F.count(F.lit(1)).alias("n")
-                                                ).select(*keys, "u", F.least("u", "_v").alias("m"), "n")
-        large = lookup_join(both.filter("v > u"), smallest, [*keys, "u"], counted="n",
-                            hot_rows=hot_rows)
-        large = settle(large.select(*keys, F.col("v").alias("hi"), F.col("m").alias("lo"))
-                       .distinct(), "stars")
-        smallest = settle(large.groupBy(*keys, "hi").agg(
-            F.min("lo").alias("m"), F.count(F.lit(1)).alias("n")), "smallest")
-        joined = lookup_join(large, smallest, [*keys, "hi"], counted="n", hot_rows=hot_rows)
-        small = (joined.filter("lo <> m").select(*keys, F.col("lo").alias("hi"),
-                                                 F.col("m").alias("lo"))
-                 .unionByName(smallest.select(*keys, "hi", F.col("m").alias("lo"))))
-        links = settle(small.distinct(), "stars")
-        now = links.agg(F.count(F.lit(1)), F.sum(
-            F.xxhash64(*keys, "hi", "lo").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    heads = links.select(*keys, F.col("lo").alias("node")).distinct().withColumn(
-        "component", F.col("node"))
-    return heads.unionByName(
-        links.select(*keys, F.col("hi").alias("node"), F.col("lo").alias("component")))
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+                            ).filter("a < b").distinct()
+
+    def target(nodes: DataFrame, name: str) -> DataFrame:
+        return nodes.select(*keys, F.col("node").alias(name), F.col("to").alias("_to"))
+
+    links = settle(ordered(edges), "links")
+    labels = settle(links.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct()
+                    .withColumn("component", F.col("node")), "labels")
+    while not links.isEmpty():
+        near = settle(links.groupBy(*keys, F.col("b").alias("node")).agg(F.min("a").alias("to")), "near")
+        onward = near.select(*keys, F.col("node").alias("to"), F.col("to").alias("_far"))
+        far = settle(near.join(onward, [*keys, "to"], "left").select(
+            *keys, "node", F.coalesce("_far", "to").alias("to")), "far")
+        labels = settle(labels.join(target(far, "component"), [*keys, "component"], "left").select(
+            *keys, "node", F.coalesce("_to", "component").alias("component")), "labels")
+        moved = links
+        for end in ("a", "b"):
+            moved = moved.join(target(far, end), [*keys, end], "left").withColumn(
+                end, F.coalesce("_to", end)).drop("_to")
+        links = settle(ordered(moved), "links")
+    return labels
 
 
 def spanning_forest(edges: DataFrame, small_edges: int = SMALL_EDGES,
@@ -141,9 +95,7 @@ def spanning_forest(edges: DataFrame, small_edges: int = SMALL_EDGES,
                 .groupBy("c").agg(F.min("e").alias("e")))
         picks = settle(best.select("e.*").distinct(), "picks")
         chosen.append(picks.select("a", "b", "d"))
-        merged = connected_components(
-            picks.select(F.col("ca").alias("a"), F.col("cb").alias("b")),
-            small_edges=small_edges, hot_rows=hot_rows)
+        merged = connected_components(picks.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         merged = settle(merged, "merged")
         for side in ("ca", "cb"):
             renamed = merged.select(F.col("node").alias(side), F.col("component").alias("_c"))

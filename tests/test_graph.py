@@ -46,10 +46,8 @@ def as_dict(df):
     return {r["id"]: r["cluster_label"] for r in df.collect()}
 
 
-@pytest.mark.parametrize("options", [
-    {}, {"small_points": 0}, {"small_points": 0, "block_rows": 20},
-    {"small_points": 0, "small_edges": 0, "block_rows": 40}])
-def test_dbscan_paths_agree(spark, options):
+@pytest.mark.parametrize("options", [{}, {"block_rows": 20}, {"block_rows": 40}])
+def test_dbscan_blocks_agree(spark, options):
     df, m = points(spark, 120)
     for eps in (0.01, 0.03):
         assert as_dict(cluster.dbscan(df, eps, **options)) == brute_labels(m, eps)
@@ -67,18 +65,16 @@ def test_pivot_join_finds_the_same_clusters(spark):
 def test_dbscan_ignores_partitioning_and_copies(spark):
     df, m = points(spark, 60)
     copies = df.unionByName(df.withColumn("id", F.col("id") + 1000))
-    one = as_dict(cluster.dbscan(copies.repartition(7), 0.02, small_points=0, block_rows=16))
+    one = as_dict(cluster.dbscan(copies.repartition(7), 0.02, block_rows=16))
     assert one == as_dict(cluster.dbscan(copies.coalesce(1), 0.02))
     assert -1 not in one.values()
 
 
-@pytest.mark.parametrize("small", [200_000, 0])
-def test_components_of_chain_and_hub(spark, small):
+def test_components_of_chain_and_hub(spark):
     chain = [(i, i + 1) for i in range(30)]
     hub = [(100, 100 + i) for i in range(1, 40)]
     edges = spark.createDataFrame(chain + hub + [(300, 299)], "a bigint, b bigint")
-    got = {r["node"]: r["component"] for r in graph.connected_components(
-        edges, small_edges=small, hot_rows=5).collect()}
+    got = {r["node"]: r["component"] for r in graph.connected_components(edges).collect()}
     want = {**{i: 0 for i in range(31)}, **{100 + i: 100 for i in range(40)}, 299: 299, 300: 299}
     assert got == want
 
