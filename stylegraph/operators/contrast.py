@@ -18,7 +18,6 @@ from stylegraph.operators.skew import lookup_join
 from stylegraph.sources.staging import settle
 
 FLOOR = 1e-12
-MAX_SELECTED = 10_000     # a selection is a short list by purpose
 
 
 def units(items: DataFrame) -> DataFrame:
@@ -145,30 +144,57 @@ def gain_nn(items: DataFrame, universe: DataFrame, selected: DataFrame,
     """Nearest-neighbour gain ``(id, gain)``: how much an item raises the sum of
     the universe's best similarities to the selection."""
     unit = settle(units(items.select("id", "vector")), "units")
-    chosen = unit.join(selected.select("id"), "id", "left_semi").select("vector").limit(
-        MAX_SELECTED + 1).toArrow()
-    if chosen.num_rows > MAX_SELECTED:
-        raise ValueError(f"a selection has at most {MAX_SELECTED} items")
-    best = matrix(chosen) if chosen.num_rows else None
+    chosen = unit.join(selected.select("id"), "id", "left_semi")
     candidates = unit.join(selected.select("id"), "id", "left_anti")
     kind = unit.schema["id"].dataType.simpleString()
     schema = f"id {kind}, gain double"
     out = arrow_schema(schema)
+    against = settle(units(universe.select("id", "vector")), "universe")
+    other = against.schema["id"].dataType.simpleString()
+    best_out = arrow_schema(f"id {other}, have double")
+
+    def best(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        a, b = matrix(lt), matrix(rt)
+        have = [(a[s:s + TILE_ROWS] @ b.T).max(axis=1) for s in range(0, len(a), TILE_ROWS)]
+        return pa.table([lt.column("id"), pa.array(np.concatenate(have))], schema=best_out)
+
+    # the best similarity so far of every universe row; none while nothing is selected
+    have = product(against, chosen, best, f"id {other}, have double", block_rows).groupBy("id").agg(
+        F.max("have").alias("have"))
+    against = against.join(have, "id", "left")
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
         a, b = matrix(lt), matrix(rt)
-        have = (b @ best.T).max(axis=1) if best is not None else None
+        have = rt.column("have").to_pandas().to_numpy(dtype=float)
         gain = np.zeros(len(a))
         for s in range(0, len(a), TILE_ROWS):
             w = a[s:s + TILE_ROWS] @ b.T
-            gain[s:s + TILE_ROWS] = w.sum(1) if have is None else \
-                np.maximum(w - have[None, :], 0).sum(1)
+            gain[s:s + TILE_ROWS] = np.where(np.isnan(have), w, np.maximum(w - have, 0)).sum(1)
         return pa.table([lt.column("id"), pa.array(gain)], schema=out)
 
-    parts = product(candidates, units(universe.select("id", "vector")), kernel, schema, block_rows)
+    parts = product(candidates, against, kernel, schema, block_rows)
     return parts.groupBy("id").agg(F.sum("gain").alias("gain"))
 
 
+def gram(rows: DataFrame) -> np.ndarray | None:
+    """Sum of the outer products of ``rows(vector)``, width x width; None without rows."""
+    schema = "i int, part array<double>"
+    out = arrow_schema(schema)
+
+    def outer(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch)
+                total = x.T @ x + (0 if total is None else total)
+        if total is not None:
+            yield pa.record_batch([pa.array(range(len(total)), pa.int32()), pa.array(list(total))], schema=out)
+
+    sums = rows.select("vector").mapInArrow(outer, schema).groupBy("i").agg(vector_sum(F.col("part")).alias("part"))
+    found = sums.orderBy("i").toArrow()             # one row per dimension
+    return np.array(found.column("part").to_pylist()) if found.num_rows else None
+
+
 def gain_logdet(items: DataFrame, selected: DataFrame, merged: DataFrame | None = None,
                 ridge: float = 0.0) -> DataFrame:
     """Log of an item's variance given the selection: ``(id, gain)``.
@@ -178,11 +204,14 @@ def gain_logdet(items: DataFrame, selected: DataFrame, merged: DataFrame | None
     unit = settle(units(items.select("id", "vector")), "units")
     given = selected.select("id") if merged is None else selected.select("id").union(
         merged.select("id"))
-    rows = unit.join(given.distinct(), "id", "left_semi").select("vector").limit(
-        MAX_SELECTED + 1).toArrow()
-    if rows.num_rows > MAX_SELECTED:
-        raise ValueError(f"a selection has at most {MAX_SELECTED} items")
-    base = matrix(rows) if rows.num_rows else None
+    together = gram(unit.join(given.distinct(), "id", "left_semi"))
+    explains = None
+    if together is not None:
+        # what a selection explains of x is x' G (G + ridge)^-1 x, whose size is the width of x
+        values, axes = np.linalg.eigh(together)
+        kept = values > 1e-10 * values.max()
+        share = np.where(kept, values / np.where(kept, values + ridge, 1.0), 0.0)
+        explains = (axes * share) @ axes.T
     kind = unit.schema["id"].dataType.simpleString()
     schema = f"id {kind}, gain double"
     out = arrow_schema(schema)
@@ -193,10 +222,8 @@ def gain_logdet(items: DataFrame, selected: DataFrame, merged: DataFrame | None
                 continue
             x = matrix(batch)
             variance = (x ** 2).sum(1) + ridge
-            if base is not None:
-                inner = base @ base.T + ridge * np.eye(len(base))
-                cross = base @ x.T
-                variance = np.abs(variance - (np.linalg.solve(inner, cross) * cross).sum(0))
+            if explains is not None:
+                variance = np.abs(variance - ((x @ explains) * x).sum(1))
             gain = np.log(np.maximum(variance, FLOOR))
             yield pa.record_batch([batch.column("id"), pa.array(gain)], schema=out)
 
