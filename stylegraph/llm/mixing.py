@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stylegraph.llm.common import WORD, hashed_rank, only, stable_hash
-from stylegraph.operators.skew import global_index, lookup_join
+from stylegraph.operators.skew import global_index
 from stylegraph.sources.staging import settle
 
 
@@ -77,8 +77,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.
     places = (bins.select("_s", "_null", "_bin", "n",
                           F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
               .join(targets.drop("weight"), ["_s", "_null"]))
-    ranked = lookup_join(hashed_rank(rows, ["_s", "_null", "_bin"], ["doc_id", "size"], "_rank"),
-                         places, ["_s", "_null", "_bin"], counted="n")
+    ranked = hashed_rank(rows, ["_s", "_null", "_bin"], ["doc_id", "size"], "_rank", places)
     offset = F.shiftright(stable_hash(F.lit(seed), F.col("_s")), 28) / F.lit(float(1 << 32))
     place = F.col("_first") + F.col("_rank")
     marks = (F.floor(F.col("rate") * (place + 1) + offset) - F.floor(F.col("rate") * place + offset))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stylegraph.llm.common import only
+from stylegraph.llm.common import groups, only
 
 SPACE = "▁"
 #: Segments and words remembered by a worker, and the longest segment it remembers.
@@ -168,19 +168,6 @@ class PrefixCounter:
         return (flat + before)[1:]           # the first mark is the added space
 
 
-def groups(column: pa.Array, size: int = GROUP) -> Iterator[list[str]]:
-    """Texts of a column, null as empty, in lists of about ``size`` characters."""
-    texts, n = [], 0
-    for value in column:
-        texts.append(value.as_py() or "")
-        n += len(texts[-1])
-        if n >= size:
-            yield texts
-            texts, n = [], 0
-    if texts:
-        yield texts
-
-
 def fitting(prefixes: np.ndarray, budget: int) -> int:
     """Length of the longest prefix such that it and all before it have at most ``budget`` tokens."""
     over = np.flatnonzero(prefixes > budget)
@@ -220,7 +207,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096,
         for batch in batches:
             rows = []
             gc.disable()                     # nothing here makes cycles, and the tables are large
-            for texts in groups(batch.column("text")):
+            for texts in groups(batch.column("text"), GROUP):
                 for text, total in zip(texts, model.tokens(texts)):
                     table = model.prefixes(text) if prefixes or total > limit else None
                     rows.append([len(text.encode()), total, total > limit,
