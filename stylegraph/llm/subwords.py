@@ -1,7 +1,7 @@
 """Supervised subword embeddings for text quality.
 
-A document is the mean of the learned vectors of its words and of their character
-n-grams, all hashed into one table; a softmax over two classes follows. Both are
+A document is the mean of the learned vectors of its words, of their character
+n-grams and of word pairs that repeat a word, all hashed into one table; a softmax over two classes follows. Both are
 trained together by stochastic gradient descent in numpy. As the output is linear
 in the mean, a trained model keeps one number per bucket and class difference.
 """
@@ -16,36 +16,37 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stylegraph.llm.common import only, stable_hash
+from stylegraph.llm.common import groups, only, stable_hash
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 18, 8, (2, 3, 4)
 #: Labelled rows that training may read: those with the smallest hashes of their ids.
 SAMPLE = 6_000
-#: Words a worker remembers.
-REMEMBERED = 400_000
-_words = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words a worker remembers, characters scored at a time.
+REMEMBERED, GROUP = 500_000, 2_000_000
+#: Bucket of the word pairs whose two words are the same, whatever the word.
+SAME = BUCKETS
+_words = re.compile(r"[^\x20\x09-\x0D]+").findall
+_factors = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
 
 
-def grams(word: str) -> np.ndarray:
-    """Buckets of a word and of its character n-grams, ends marked."""
+def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of their character n-grams, ends marked: ``(number of the word, bucket)``."""
     import xxhash
-    marked = f"<{word[:64]}>"                 # n-grams of the head of overlong words
-    parts = {word, *(marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1))}
-    return np.array([xxhash.xxh32_intdigest(p) & (BUCKETS - 1) for p in sorted(parts)], np.int64)
-
-
-def bag(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares."""
-    lists = []
-    for word in _words.findall(text):
-        ids = known.get(word)
-        if ids is None:
-            ids = known[word] = grams(word)
-        lists.append(ids)
-    if not lists:
-        return np.zeros(0, np.int64), np.zeros(0)
-    ids, n = np.unique(np.concatenate(lists), return_counts=True)
-    return ids, n / n.sum()
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words])
+    owner = np.repeat(np.arange(len(words)), sizes)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    whole = np.array([xxhash.xxh32_intdigest(w) for w in words], np.int64)
+    owners, found = [np.arange(len(words))], [whole & (BUCKETS - 1)]
+    for n in GRAMS:
+        at = np.flatnonzero(np.arange(len(codes)) + n <= ends)
+        mixed = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            mixed = (mixed + codes[at + k]) * _factors[k]
+            mixed ^= mixed >> np.uint64(17)
+        owners.append(owner[at])
+        found.append((mixed & np.uint64(BUCKETS - 1)).astype(np.int64))
+    return np.concatenate(owners), np.concatenate(found)
 
 
 @dataclass
@@ -56,37 +57,57 @@ class Model:
     bias: float
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = 8, rate: float = 2.0, batch: int = 16,
+def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text and their shares."""
+    number: dict[str, int] = {}
+    split = [[number.setdefault(w, len(number)) for w in _words(t)] for t in texts]
+    if not number:
+        return [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+    owner, found = buckets(list(number))
+    order = np.argsort(owner, kind="stable")
+    found, sizes = found[order], np.bincount(owner)
+    starts = np.cumsum(sizes) - sizes
+    out = []
+    for words in split:
+        words = np.array(words, np.int64)
+        own, times = np.unique(words, return_counts=True)
+        n = sizes[own]
+        at = np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        ids, back = np.unique(found[at], return_inverse=True)
+        share = np.bincount(back, weights=np.repeat(times, n), minlength=len(ids))
+        if len(words):
+            ids, share = np.append(ids, SAME), np.append(share, (words[1:] == words[:-1]).sum())
+        out.append((ids, share / max(share.sum(), 1)))
+    return out
+
+
+def train(texts: list[str], y: np.ndarray, epochs: int = 5, rate: float = 0.3, spread: float = 50.0,
           seed: int = 0) -> Model:
-    """Learn vectors and softmax by mini-batch gradient descent with a falling rate."""
+    """Learn vectors and softmax by stochastic gradient descent with a falling rate.
+
+    A document spreads its gradient over a thousand vectors, so these take ``spread`` times larger steps.
+    """
     rng = np.random.default_rng(seed)
-    table = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
+    table = rng.uniform(-1, 1, (BUCKETS + 1, DIMENSIONS)) / DIMENSIONS
     top, bias = np.zeros((DIMENSIONS, 2)), np.zeros(2)
-    known: dict[str, np.ndarray] = {}
-    bags = [bag(t, known) for t in texts]
-    steps, step = epochs * ((len(bags) + batch - 1) // batch), 0
+    made = bags(texts)
+    step, steps = 0, epochs * len(made)
     for _ in range(epochs):
-        order = rng.permutation(len(bags))
-        for at in range(0, len(order), batch):
-            chosen = [i for i in order[at:at + batch] if len(bags[i][0])]
+        for i in rng.permutation(len(made)):
             now, step = rate * (1 - step / steps), step + 1
-            if not chosen:
+            ids, share = made[i]
+            if not len(ids):
                 continue
-            ids = np.concatenate([bags[i][0] for i in chosen])
-            share = np.concatenate([bags[i][1] for i in chosen])[:, None]
-            ends = np.cumsum([len(bags[i][0]) for i in chosen])
-            mean = np.add.reduceat(table[ids] * share, ends - np.diff(ends, prepend=0), axis=0)
+            vectors = table[ids]
+            mean = share @ vectors
             logits = mean @ top + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(chosen)), y[chosen].astype(int)] -= 1
-            p /= len(chosen)
-            back = p @ top.T
-            top -= now * mean.T @ p
-            bias -= now * p.sum(axis=0)
-            row = np.repeat(np.arange(len(chosen)), np.diff(ends, prepend=0))
-            # large steps: a document spreads its gradient over a thousand vectors
-            np.subtract.at(table, ids, 50 * now * share * back[row])
+            p = np.exp(logits - logits.max())
+            p /= p.sum()
+            p[int(y[i])] -= 1
+            back = top @ p
+            top -= now * np.outer(mean, p)
+            bias -= now * p
+            table[ids] = vectors - (now * spread) * share[:, None] * back      # ids are distinct
     lean = top[:, 1] - top[:, 0]
     return Model((table @ lean).astype(np.float32), float(bias[1] - bias[0]))
 
@@ -95,24 +116,34 @@ class Scorer:
     """Adds up what each word contributes; words are looked up once per worker."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def word(self, word: str) -> tuple[float, int]:
-        ids = grams(word)
-        return float(self.model.weight[ids].sum()), len(ids)
-
-    def score(self, text: str) -> float:
-        known, words = self.known, _words.findall(text)
-        found = [known.get(w) for w in words]
-        if None in found:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for i, w in enumerate(words):
-                if found[i] is None:
-                    found[i] = known[w] = self.word(w)
-        total, n = sum(f[0] for f in found), sum(f[1] for f in found)
-        margin = self.model.bias + (total / n if n else 0.0)
-        return float(1 / (1 + np.exp(-margin)))
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.sums, self.sizes = np.zeros(0), np.zeros(0, np.int64)
+
+    def scores(self, texts: list[str]) -> list[float]:
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        split = [_words(t) for t in texts]
+        number = self.number
+        fresh = list({w for words in split for w in words if w not in number})
+        if fresh:
+            owner, found = buckets(fresh)
+            self.sums = np.concatenate([self.sums, np.bincount(
+                owner, weights=self.model.weight[found], minlength=len(fresh))])
+            self.sizes = np.concatenate([self.sizes, np.bincount(owner, minlength=len(fresh))])
+            number.update(zip(fresh, range(len(number), len(number) + len(fresh))))
+        out = []
+        for words in split:
+            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            same = int((at[1:] == at[:-1]).sum())
+            n = int(self.sizes[at].sum()) + same
+            total = float(self.sums[at].sum()) + same * float(self.model.weight[SAME])
+            margin = self.model.bias + (total / n if n else 0.0)
+            out.append(float(1 / (1 + np.exp(-margin))))
+        return out
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
@@ -132,7 +163,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mod
     rows = training_rows(docs, labels, sample)
     y = rows.column("quality").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
-        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+        return Model(np.zeros(BUCKETS + 1, np.float32), 0.0)
     return train([t or "" for t in rows.column("text").to_pylist()], y)
 
 
@@ -149,7 +180,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            scores = [scorer.score(t.as_py() or "") for t in batch.column("text")]
+            scores = [s for texts in groups(batch.column("text"), GROUP) for s in scorer.scores(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], schema=schema)
 
     scored = only(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, score double")
