@@ -36,8 +36,8 @@ TOKEN = rf"(?<!{_word})[^{_space}0-9@]*+[0-9@]{_word}*+"
 REACH, LONGEST = 120, 64
 #: Offsets are summed in blocks of this many hits.
 BLOCK = 64
-#: Patterns counted by a broadcast join at most (about 64 MB).
-BROADCAST_PATTERNS = 500_000
+#: Patterns looked up in a list inside the expression at most (about 2 MB); beyond, by a join.
+LISTED_PATTERNS = 20_000
 
 
 def _luhn(hit: str) -> str:
@@ -132,9 +132,12 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     words = docs.select(F.filter(F.split(F.lower("text"), f"[{_space}]+"), lambda w: w != "").alias("_w"))
     pairs = words.filter("size(_w) > 2").select(F.explode(F.expr(
         "transform(sequence(0, size(_w) - 3), i -> concat(_w[i], ' ', _w[i + 1]))")).alias("pattern"))
-    if patterns.count() <= BROADCAST_PATTERNS:
-        patterns = F.broadcast(patterns)
-    return pairs.join(patterns, "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    listed = [r.pattern for r in patterns.limit(LISTED_PATTERNS + 1).collect()]
+    if len(listed) <= LISTED_PATTERNS:       # a hash lookup, so that no matches become rows before they are counted
+        met = pairs.filter(F.col("pattern").isin(listed))
+    else:
+        met = pairs.join(patterns, "pattern", "left_semi")
+    return met.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
 
 
 def bootstrap(seeds: DataFrame, tokens: DataFrame, docs: DataFrame, rounds: int = 3,
