@@ -5,7 +5,9 @@ scatters the hashed shingles, the second, shifted circularly by k, is
 minimised for coordinate k. Documents that agree in all rows of a band meet in a
 bucket. Only connectivity is asked for, so a bucket is first compared with single
 leaders, round by round; only what then still lies in different components
-is compared pair by pair, in bounded blocks, on full shingle sets.
+is compared pair by pair, in bounded blocks. The share of equal coordinates rules out
+pairs far below the threshold before full shingle sets travel; every link is
+confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stylegraph.llm.common import only
-from stylegraph.llm.components import components
+from stylegraph.operators.graph import connected_components
 from stylegraph.operators.skew import lookup_join
 from stylegraph.sources.staging import settle
 
 #: Size of the universe that is permuted, and seed of the permutations.
 UNIVERSE, SEED = 1 << 17, 20240901
-#: Sets compared with a leader by one task, and sets of one side of a block.
-CHUNK, BLOCK = 128, 64
+#: Sets compared with a leader by one task; sets, and sketches, of one side of a block.
+CHUNK, BLOCK, SKETCH_BLOCK = 128, 64, 512
+#: Standard errors below the threshold at which the share of equal coordinates rules a pair out.
+ERRORS = 5.5
 #: Rounds of leaders before blocks, and ids that are broadcast at most (about 64 MB).
 LEADER_ROUNDS, BROADCAST_IDS = 3, 2_000_000
 #: Words a worker remembers; shingles signed at a time.
@@ -70,7 +74,7 @@ class Shingler:
 
 
 class Signer:
-    """Signatures of sets: ``bands * rows`` coordinates, hashed band by band."""
+    """Signatures of sets: ``bands * rows`` coordinates, hashed band by band, and a byte of each as a sketch."""
 
     def __init__(self, bands: int, rows: int):
         random = np.random.default_rng(SEED)
@@ -79,18 +83,26 @@ class Signer:
         second = random.permutation(UNIVERSE).astype(np.int32)
         self.second = np.concatenate([second, second[:bands * rows]])     # shifts without a modulus
 
-    def __call__(self, sets: list[np.ndarray]) -> np.ndarray:
-        """One row of band hashes per non-empty set."""
+    def __call__(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """One row of band hashes and one of bytes per non-empty set."""
         starts = np.cumsum([0, *map(len, sets)])[:-1]
         at = self.scatter[(np.concatenate(sets) & np.uint64(UNIVERSE - 1)).astype(np.int64)]
         out = np.empty((len(sets), self.bands), np.uint64)
+        sketch = np.empty((len(sets), self.bands * self.rows), np.uint8)
         for band in range(self.bands):
             key = np.full(len(sets), band, np.uint64)
             for k in range(band * self.rows, (band + 1) * self.rows):
                 lowest = np.minimum.reduceat(self.second[k:].take(at), starts)
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + lowest.astype(np.uint64))
+                sketch[:, k] = lowest & 255
             out[:, band] = key
-        return out.view(np.int64)
+        return out.view(np.int64), sketch
+
+
+def least_equal(percent: int, coordinates: int) -> int:
+    """Equal coordinates that a pair at the threshold has but with a negligible probability."""
+    share = percent / 100
+    return int(coordinates * share - ERRORS * np.sqrt(coordinates * share * (1 - share)))
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -100,20 +112,21 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles, node, keys`` of each whole text; without words node and keys are null."""
+    """``doc_id, n_shingles, node, keys, sketch`` of each whole text; without words the last three are null."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()),
-                        ("keys", pa.list_(pa.int64()))])
+                        ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(words), Signer(bands, rows)
 
         def flush(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             full = [s for s in sets if len(s)]
-            keys = iter(signer(full)) if full else iter(())
+            keys, sketches = map(iter, signer(full)) if full else (iter(()), iter(()))
             return pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([next(keys) if len(s) else None for s in sets], schema.field("keys").type)], schema=schema)
+                pa.array([next(keys) if len(s) else None for s in sets], schema.field("keys").type),
+                pa.array([next(sketches).tobytes() if len(s) else None for s in sets], pa.binary())], schema=schema)
 
         for batch in batches:
             ids, sets, n = [], [], 0
@@ -128,7 +141,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 yield flush(ids, sets)
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>")
+        run, "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -188,26 +201,83 @@ def verify_stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.unionByName(heads).groupBy("leader", "chunk").applyInArrow(compare, "a bigint, b bigint")
 
 
-def verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges between different components inside each bucket of ``members(key, node, n, component)``.
+def sketches_of(table: pa.Table, column: str = "sketch") -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), np.uint8).reshape(table.num_rows, -1)
+
 
-    A bucket is dealt into chunks of about ``BLOCK`` rows; a task compares two chunks. In a
-    large bucket the rows of its largest component meet only the others.
+def likely_pairs(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The ``pairs(leader, node)`` with at least ``least`` equal coordinates."""
+    sketch = nodes.select("node", "sketch")
+    both = pairs.join(sketch, "node").join(sketch.select(
+        F.col("node").alias("leader"), F.col("sketch").alias("other")), "leader").select(
+        "leader", "node", "sketch", "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                equal = (sketches_of(table) == sketches_of(table, "other")).sum(1)
+                yield batch.select(["leader", "node"]).filter(pa.array(equal >= least))
+
+    return both.mapInArrow(run, "leader bigint, node bigint")
+
+
+def block_tasks(members: DataFrame, block: int) -> DataFrame:
+    """Deals each bucket of ``members(key, node, n, component)`` into tasks ``(key, i, j)``.
+
+    A bucket falls into chunks of about ``block`` rows, a task gets two chunks (``chunk`` tells a row's
+    own). In a large bucket the rows of its largest component meet only the others.
     """
     parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"))
     sizes = parts.groupBy("key").agg(F.max(F.struct("_n", "component")).alias("_m"), F.sum("_n").alias("_n")).select(
-        "key", "_n", F.when(F.col("_n") > BLOCK, F.col("_m.component")).alias("_main"),
-        F.when(F.col("_n") > BLOCK, F.col("_m._n")).otherwise(0).alias("_size"))
-    chunks = lambda n: F.ceil(n / BLOCK).cast("int")
+        "key", "_n", F.when(F.col("_n") > block, F.col("_m.component")).alias("_main"),
+        F.when(F.col("_n") > block, F.col("_m._n")).otherwise(0).alias("_size"))
+    chunks = lambda n: F.ceil(n / block).cast("int")
     dealt = (lookup_join(members, sizes, ["key"], counted="_n")
              .withColumn("_most", F.col("component").eqNullSafe(F.col("_main")))
              .withColumn("_few", chunks(F.col("_n") - F.col("_size"))).withColumn("_many", chunks(F.col("_size")))
              .withColumn("_x", F.when(F.col("_most"), F.col("_few") + F.pmod(F.xxhash64("node"), F.col("_many")))
                          .otherwise(F.pmod(F.xxhash64("node"), F.col("_few"))).cast("int"))
              .withColumn("_last", F.when(F.col("_most"), F.col("_few") - 1).otherwise(F.col("_few") + F.col("_many") - 1)))
-    tasks = dealt.select("key", "node", "component", "_x", F.explode(F.expr("sequence(0, _last)")).alias("_y"))
-    tasks = tasks.select("key", F.least("_x", "_y").alias("i"), F.greatest("_x", "_y").alias("j"),
-                         "node", "component", F.col("_x").alias("chunk"))
+    tasks = dealt.select("key", "node", "n", "component", "_x", F.explode(F.expr("sequence(0, _last)")).alias("_y"))
+    return tasks.select("key", F.least("_x", "_y").alias("i"), F.greatest("_x", "_y").alias("j"),
+                        "node", "n", "component", F.col("_x").alias("chunk"))
+
+
+def likely_members(members: DataFrame, nodes: DataFrame, percent: int, least: int) -> DataFrame:
+    """The rows of ``members(key, node, n, component)`` that may be linked across components in their bucket.
+
+    A pair counts in the first bucket that it shares, so later steps meet it once.
+    """
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, groups = table.column("node").to_numpy(), table.column("component").to_numpy()
+        chunk, i, j = table.column("chunk").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        key, sizes = table.column("key")[0].as_py(), table.column("n").to_numpy()
+        sketch = sketches_of(table)
+        keys = np.array(table.column("keys").to_pylist(), np.int64)
+        likely = np.zeros(len(nodes), bool)
+        for x in np.flatnonzero(chunk == i):
+            rest = np.flatnonzero((groups != groups[x]) & (chunk == j) & (
+                100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])))
+            rest = rest[(sketch[rest] == sketch[x]).sum(1) >= least]
+            if len(rest):
+                first = (keys[rest] == keys[x]).argmax(1)
+                rest = rest[keys[x][first] == key]
+                likely[rest] = True
+                likely[x] |= len(rest) > 0
+        return pa.table([pa.array(np.full(int(likely.sum()), key), pa.int64()), pa.array(nodes[likely], pa.int64())],
+                        schema=schema)
+
+    marked = block_tasks(members, SKETCH_BLOCK).join(nodes.select("node", "sketch", "keys"), "node").groupBy(
+        "key", "i", "j").applyInArrow(compare, "key bigint, node bigint")
+    return members.join(settle(marked.distinct(), "likely"), ["key", "node"], "left_semi")
+
+
+def verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges between different components inside each bucket of ``members(key, node, n, component)``."""
+    tasks = block_tasks(members, BLOCK).drop("n")
 
     def compare(table: pa.Table) -> pa.Table:
         nodes, groups = table.column("node").to_numpy(), table.column("component").to_numpy()
@@ -254,13 +324,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     without ids has a null ``component_id`` and keeps its rows. No rows give no rows.
 
     With 32 bands of 4 rows a pair at similarity 0.8 meets in some bucket but for
-    5e-8; below, chances fall (0.5: 0.87, 0.2: 0.05). Shingles and sets are
+    5e-8; below, chances fall (0.5: 0.87, 0.2: 0.05). Equal coordinates rule it out with less than 1e-6. Shingles and sets are
     told apart by 64-bit hashes.
     """
     docs = only(docs, doc_id="bigint", text="string")
     signed = settle(signatures(docs, words, bands, rows), "signatures")
     nodes = settle(signed.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "nodes")
+        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"),
+        F.first("sketch").alias("sketch")), "nodes")
+    least = least_equal(percent, bands * rows)
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
     crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     buckets = settle(lookup_join(members, crowded, ["key"], counted="_n").drop("_n"), "buckets")
@@ -286,12 +358,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
             if largest is None:
                 break
             open_ = settle(lookup_join(joined, mixed, ["key"], counted="_n").drop("_n"), "open")
-            last = largest <= BLOCK or turn == LEADER_ROUNDS      # leaders pay off in large buckets only
-        new = verify_blocks(open_, sets, percent) if last else verify_stars(
-            settle(to_leaders(open_, turn, percent), "pairs"), sets, percent)
+            last = largest <= SKETCH_BLOCK or turn == LEADER_ROUNDS      # leaders pay off in large buckets only
+        if last:
+            new = verify_blocks(settle(likely_members(open_, nodes, percent, least), "likely"), sets, percent)
+        else:
+            new = verify_stars(settle(likely_pairs(to_leaders(open_, turn, percent), nodes, least), "pairs"),
+                               sets, percent)
         new = settle(new, "edges")
         edges = new if edges is None else edges.unionByName(new)
-        found = components(edges)
+        found = connected_components(edges)
         if last:
             break
 

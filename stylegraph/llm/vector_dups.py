@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stylegraph.llm.common import only, stable_hash
-from stylegraph.llm.components import components
+from stylegraph.operators.graph import connected_components
 from stylegraph.operators.skew import lookup_join
 from stylegraph.sources.staging import settle
 
@@ -169,7 +169,7 @@ def vector_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float
     if found is None:
         return units.select("vec_id", F.lit(0).cast("bigint").alias("n_links"),
                             F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    groups = components(found.filter("edge").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    groups = connected_components(found.filter("edge").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = found.filter("not edge").groupBy("node").agg(F.sum("links").alias("_links"))
     named = settle(nodes.select("node", "id", "copies").join(counts, "node", "left").join(
         groups, "node", "left").select(

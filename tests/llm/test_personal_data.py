@@ -1,8 +1,10 @@
 import random
 
 import brute_pii as brute
+import pytest
 from conftest import FOLDER, ODD
 
+from stylegraph.llm import personal_data
 from stylegraph.llm.personal_data import find_personal_data, redact, summary
 from stylegraph.llm.queries import QUERIES
 
@@ -40,7 +42,9 @@ def contextual():
     return rows
 
 
-def test_contexts_find_unseen_identifiers(docs_of):
+@pytest.mark.parametrize("listed", [20_000, 0])
+def test_contexts_find_unseen_identifiers(docs_of, monkeypatch, listed):
+    monkeypatch.setattr(personal_data, "LISTED_PATTERNS", listed)
     rows = {r.doc_id: r for r in summary(find_personal_data(docs_of(contextual()))).collect()}
     texts = {i: t for i, t, _ in contextual()}
     agrees(rows.values(), texts)
