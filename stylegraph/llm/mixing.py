@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stylegraph.llm.common import WORD, hashed_rank, only, stable_hash
-from stylegraph.operators.skew import global_index
+from stylegraph.operators.skew import global_index, lookup_join, number_in_group
 from stylegraph.sources.staging import settle
 
 
@@ -48,6 +48,11 @@ def source_targets(sources: DataFrame, weights: Sequence[float] = (1, 2, 3),
         .otherwise(0.0)).drop("_cap")
 
 
+def n_words() -> Column:
+    """Words of ``text``, 0 for null."""
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.0,
         max_repeat: int = 3, seed: int = 0) -> DataFrame:
     """How often the mix takes each row of ``docs(doc_id, source, text)``.
@@ -59,7 +64,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.
     so reruns agree. A source's words differ from its target by less than the size
     of its largest document, as a rule by far less.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    size = n_words()
     digits = F.col("size").cast("string")
     rows = settle(
         only(docs, doc_id="bigint", source="string", text="string")
@@ -90,21 +95,35 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.
 def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as ``mixed`` (from :func:`mix`) says.
 
-    Rows are matched by id. Where an id repeats, its rows take their copies in turn.
+    Rows are matched by what the mix sees of them: id, source and size. Rows that agree
+    in all three share a rate, so their copies differ by one at most; their sum is dealt
+    evenly, one more to the first rows by hash. Numbering those spans tasks.
     """
-    copies = settle(mixed.groupBy("doc_id").agg(F.array_sort(F.collect_list("copies")).alias("_each")),
-                    "copies")
     names = docs.columns
-    repeated = not copies.filter(F.size("_each") > 1).isEmpty()
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
-                       F.col("doc_id").cast("bigint").alias("_id"))
-    if repeated:
-        left = left.withColumn("_k", F.row_number().over(
-            Window.partitionBy("_id").orderBy(F.xxhash64("_row"))))
+    alike = ["_id", "_none", "_s", "_null", "_size"]
+
+    def seen(size: Column) -> list[Column]:
+        id_ = F.col("doc_id").cast("bigint")
+        return [F.coalesce(id_, F.lit(0)).alias("_id"), id_.isNull().alias("_none"),
+                F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_null"),
+                size.alias("_size")]
+
+    dealt = settle(mixed.select(*seen(F.col("size")), "copies").groupBy(*alike).agg(
+        F.sum("copies").alias("_total"), F.count(F.lit(1)).alias("_n")), "dealt")
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *seen(n_words()))
+    joined = lookup_join(left, dealt, alike, counted="_n")
+    times = F.expr("_total div _n")
+    uneven = "_total % _n <> 0"
+    if dealt.filter(uneven).isEmpty():
+        rows = joined.select("_row", times.alias("_times"))
     else:
-        left = left.withColumn("_k", F.lit(1))
-    joined = left.join(copies.withColumnRenamed("doc_id", "_id2"), F.col("_id").eqNullSafe(F.col("_id2")))
-    times = F.expr("_each[_k - 1]")
-    return (joined.filter(times > 0)
-            .select("_row", F.explode(F.sequence(F.lit(1), times.cast("int"))))
+        odd = settle(joined.filter(uneven).withColumn("_hash", F.xxhash64("_row"))
+                     .withColumn("_key", F.monotonically_increasing_id()), "alike")
+        ranks = number_in_group(odd.select(*alike, "_hash", "_key"), alike, ["_hash", "_key"], "_rank",
+                                small_rows=0).select("_key", "_rank")
+        more = odd.join(ranks, "_key").select(
+            "_row", (times + F.expr("CASE WHEN _rank < _total % _n THEN 1 ELSE 0 END")).alias("_times"))
+        rows = joined.filter(f"NOT {uneven}").select("_row", times.alias("_times")).unionByName(more)
+    return (rows.filter("_times > 0")
+            .select("_row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
             .select(*[F.col(f"_row.`{c}`").alias(c) for c in names]))

@@ -60,3 +60,22 @@ def test_emit(docs_of):
     out = emit(df, mixed)
     assert out.columns == df.columns
     assert out.count() == mixed.agg({"copies": "sum"}).first()[0]
+
+
+def test_emit_repeated_ids(docs_of):
+    """Every source and size gets its own copies, also under one id, and rows that look alike share theirs."""
+    rows = [(None if i % 2 else 5, f"{i} " + "w " * (i % 5 * 30), f"s{i % 3}") for i in range(300)]
+    rows += [(7, f"{i} like all others", "s0") for i in range(50)]
+    df = docs_of(rows)
+    mixed = mix(df, weights=(1, 5, 9))
+    want, got = {}, {}
+    for r in mixed.collect():
+        key = r.doc_id, r.source, r.size
+        want[key] = want.get(key, 0) + r.copies
+    out = emit(df, mixed).collect()
+    for r in out:
+        key = r.doc_id, r.source, len(r.text.split())
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+    alike = [sum(r.text == t for r in out) for i, t, _ in rows if i == 7]
+    assert max(alike) - min(alike) == 1
