@@ -47,8 +47,12 @@ def dbscan(points: DataFrame, eps: float, distance: Distance = cosine_distance,
            block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Labels ``(id, cluster_label)`` of ``points(id, vector)``; -1 is noise."""
     points = settle(points.select("id", "vector"), "points")
-    members = connected_components(forest_edges(points, eps, distance, block_rows))
-    return _label(points.select("id"), members, [])
+    return labels_of(points, forest_edges(points, eps, distance, block_rows))
+
+
+def labels_of(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels ``(id, cluster_label)`` of the components of ``edges(a, b)``; -1 is noise."""
+    return _label(points.select("id"), connected_components(edges), [])
 
 
 def distance_forest(points: DataFrame, limit: float,

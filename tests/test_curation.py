@@ -110,6 +110,30 @@ def test_profile_metric_and_its_limit(spark):
         C.word_clusters(df, 6.0, "profile", max_features=3)
 
 
+def test_profile_without_limit(spark):
+    """More features than the former limit, and components equal to brute force over tasks of few rows."""
+    rng = np.random.default_rng(5)
+    texts = sorted({" ".join(rng.choice(list("abcdef"), rng.integers(1, 6))) for _ in range(150)})
+    d = np.array([[word_diff(a, b) for b in texts] for a in texts], float)
+    eps = 8.0
+    near = np.round(np.sqrt(((d[:, None] - d[None]) ** 2).sum(2)), 9) <= eps
+    label = np.arange(len(texts))
+    for i, j in zip(*np.nonzero(near)):
+        label[label == label[j]] = label[i]
+    df = spark.createDataFrame(list(enumerate(texts)), "idx bigint, feature string")
+    points = C.word_points(df)
+    for size in (64 << 20, 2000):
+        got = {r["id"]: r["cluster_label"] for r in
+               C.labels_of(points, C.profile_edges(points, eps, size)).collect()}
+        assert all((got[i] == -1) == ((label == label[i]).sum() == 1) for i in got)
+        groups = {(got[i], label[i]) for i in got if got[i] != -1}
+        assert len(groups) == len({g for g, _ in groups}) == len({c for _, c in groups}) > 1
+    many = spark.range(20_003).select(F.col("id").alias("idx"), F.concat_ws(
+        " ", F.lit("w"), F.greatest("id", F.lit(2))).alias("feature"))
+    got = {r["idx"]: r["cluster_label"] for r in C.word_clusters(many, 1.0, "profile").collect()}
+    assert len(got) == 20_003 and {i for i, x in got.items() if x != -1} == {0, 1, 2}
+
+
 def test_overlap_edges_are_complete(spark):
     df = spark.createDataFrame(list(enumerate(FEATURES)), "id bigint, text string")
     for t in (0.3, 0.6, 0.8, 1.0):
