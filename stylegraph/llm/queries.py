@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stylegraph.llm import spelling, walsh_clusters
 from stylegraph.llm.mixing import mix
 from stylegraph.llm.near_dups import near_duplicates
 from stylegraph.llm.packing import pack_documents
 from stylegraph.llm.personal_data import find_personal_data, summary
+from stylegraph.llm.piece_chunks import decode_pieces, encode_pieces
 from stylegraph.llm.quality_rules import quality_rules
 from stylegraph.llm.subwords import fit_quality, score_quality
 from stylegraph.llm.token_counts import count_tokens
@@ -118,3 +120,22 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     pages = spread(read_table(spark, folder, "pages"))
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op11_trie_spelling", spelling.oracle_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, folder))
+
+
+@query("op12_chunk_pieces")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    both = decode_pieces(encode_pieces(documents(spark, folder), model), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                       F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op13_walsh_clusters", walsh_clusters.oracle_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return walsh_clusters.cluster_vectors(spread(read_table(spark, folder, "embeddings")))
