@@ -1,20 +1,23 @@
 """Retrieval metrics of rankings.
 
-Scores are rounded to ``digits`` before ranking. Equal scores share a row from
+Tables of scores are rounded to ``digits`` before ranking. Equal scores share a row from
 then on, so a query has at most about ``2 * 10**digits`` rows however many
-candidates it was compared with.
+candidates it was compared with. Documents ranked against all others
+(``leave_one_out``) are ranked inside tasks, at the full precision of their scores.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from stylegraph.functions.vectors import dot, l2_normalize, vector_sum
-from stylegraph.operators.blocks import (BLOCK_ROWS, TILE_ROWS, arrow_schema, fits_beside,
-                                         matrix, product, unit_rows)
+from stylegraph.operators.blocks import arrow_schema, unit_rows
 from stylegraph.sources.staging import settle
 
 DIGITS = 6
@@ -101,51 +104,6 @@ def _discounts(before: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series(_CUMULATIVE[upto] - _CUMULATIVE[before.to_numpy()])
 
 
-def leave_one_out_bins(docs: DataFrame, digits: int = DIGITS,
-                       block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Compare every document with all others; a hit has the same author.
-
-    ``docs(id, author_id, vector)`` in any vector space; scores are cosines.
-    Documents are compared block by block and leave a task as counts per score:
-    ``(id, score, pos, neg)``.
-    """
-    kind = docs.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, score double, pos bigint, neg bigint"
-    out = arrow_schema(schema)
-
-    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        a, b = unit_rows(matrix(lt)), unit_rows(matrix(rt))
-        ids = lt.column("id")
-        codes = pa.concat_arrays([
-            lt.column("author_id").combine_chunks(),
-            rt.column("author_id").combine_chunks()]).dictionary_encode().indices.to_numpy()
-        own, others = codes[:len(a)], codes[len(a):]
-        same = pa.concat_arrays([ids.combine_chunks(), rt.column("id").combine_chunks()])
-        same = same.dictionary_encode().indices.to_numpy()
-        row, score, pos, neg = [], [], [], []
-        unit = 10 ** digits
-        for start in range(0, len(a), TILE_ROWS):
-            grid = np.rint((a[start:start + TILE_ROWS] @ b.T) * unit).astype(np.int64)
-            for k in range(len(grid)):
-                i = start + k
-                keep = same[len(a):] != same[i]
-                values, where = np.unique(grid[k][keep], return_inverse=True)
-                hits = np.bincount(where, weights=(others[keep] == own[i]),
-                                   minlength=len(values)).astype(np.int64)
-                total = np.bincount(where, minlength=len(values))
-                row.append(np.full(len(values), i))
-                score.append(values)
-                pos.append(hits)
-                neg.append(total - hits)
-        flat = [np.concatenate(x) if x else np.array([], np.int64) for x in (row, score, pos, neg)]
-        return pa.table([ids.take(pa.array(flat[0])), pa.array(flat[1] / unit + 0.0),
-                         pa.array(flat[2]), pa.array(flat[3])], schema=out)
-
-    rows = docs.select("id", "author_id", "vector")
-    parts = product(rows, rows, kernel, schema, block_rows)
-    return parts.groupBy("id", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-
 def ranking_metrics(bins: DataFrame, keys: list[str]) -> DataFrame:
     """EER, average precision and NDCG per key."""
     return (equal_error_rate(bins, keys).join(average_precision(bins, keys), keys)
@@ -182,69 +140,127 @@ def rank_one(scores: np.ndarray, hits: np.ndarray, discounts: np.ndarray) -> tup
     return float((fnr[at] + fpr[at]) / 2), ap, quality
 
 
-def _fitting_metrics(docs: DataFrame, spaces: dict, digits: int) -> DataFrame:
-    """Leave-one-out metrics in several spaces, all candidates beside each task.
+#: Scores of documents are compared at so many places; what lies below is the noise of doubles.
+LOO_DIGITS = 12
+#: Bytes of scores one task holds, and most rows of a block of candidates.
+TILE_BYTES, PACKED_ROWS = 128 << 20, 256
 
-    ``spaces`` maps a name to the directions documents are projected on, or to
-    None for the vectors as they are: ``(space, id, eer, ap, ndcg, sim)``.
-    """
-    kind = docs.schema["id"].dataType.simpleString()
-    schema = f"space double, id {kind}, eer double, ap double, ndcg double, sim double"
-    out = arrow_schema(schema)
-
-    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        ids = lt.column("id")
-        codes = pa.concat_arrays([t.column("author_id").combine_chunks() for t in (lt, rt)])
-        codes = codes.dictionary_encode().indices.to_numpy()
-        same = pa.concat_arrays([t.column("id").combine_chunks() for t in (lt, rt)])
-        same = same.dictionary_encode().indices.to_numpy()
-        left, right = matrix(lt), matrix(rt)
-        rows = len(left)
-        discounts = np.r_[0.0, np.cumsum(1 / np.log2(np.arange(1, len(right) + 1) + 1.0))]
-        found = []
-        for name, base in spaces.items():
-            a = unit_rows(left if base is None else left @ base.T)
-            b = unit_rows(right if base is None else right @ base.T)
-            for start in range(0, rows, TILE_ROWS):
-                scores = a[start:start + TILE_ROWS] @ b.T
-                grid = np.rint(scores * 10 ** digits)
-                for k in range(len(grid)):
-                    i = start + k
-                    keep = same[rows:] != same[i]
-                    found.append((name, i, *rank_one(
-                        grid[k][keep], (codes[rows:] == codes[i])[keep], discounts),
-                        float(scores[k].mean())))
-        names, at, *values = zip(*found)
-        return pa.table([pa.array(names, pa.float64()), ids.take(pa.array(at)),
-                         *[pa.array(v, pa.float64()) for v in values]], schema=out)
-
-    rows = docs.select("id", "author_id", "vector")
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return product(rows.repartition(cores), rows, kernel, schema)
 
+def leave_one_out(docs: DataFrame, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """Rank all other documents for each document; a hit has the same author.
 
-def leave_one_out_metrics(docs: DataFrame, digits: int = DIGITS,
-                          block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """EER, AP and NDCG of each document as a query against all others.
+    ``docs(space, id, author_id, vector)``, ids unique in their space; the score is the cosine and
+    spaces are independent. Returns one row per document ``(space, id, hits, misses, mean_hit, eer,
+    ap, ndcg)``.
 
-    ``docs(id, author_id, vector)``. When all documents fit one task beside
-    others they are ranked there; else they meet block by block and are ranked
-    from their counts per score. Returns ``(id, eer, ap, ndcg)``.
+    A task owns a tile of queries. All blocks of candidates stream past it, each leaves a run
+    of scores, and when the last one has passed the task sorts the scores of each query and
+    ranks them. So pairs never become rows. A tile has as many queries as ``tile_bytes``
+    hold with the scores of all documents; blocks are packed once and travel to every tile.
     """
-    docs = settle(docs.select("id", "author_id", "vector"), "docs")
-    if fits_beside(docs, block_rows):
-        return _fitting_metrics(docs, {0.0: None}, digits).drop("space", "sim")
-    bins = settle(leave_one_out_bins(docs, digits, block_rows), "bins")
-    return ranking_metrics(bins, ["id"])
-
-
-def sweep_metrics(docs: DataFrame, spaces: dict, digits: int = DIGITS) -> DataFrame:
-    """Mean quality per space in one job, for documents that fit one task:
-    ``(space, eer, ap, ndcg, mean_sim)``."""
-    rows = _fitting_metrics(docs, spaces, digits)
-    return rows.groupBy("space").agg(
-        *[F.round(F.avg(c), 3).alias(c) for c in ("eer", "ap", "ndcg")],
-        F.round(F.avg("sim"), 3).alias("mean_sim"))
+    docs = settle(docs.select("space", "id", "author_id", "vector"), "docs")
+    sizes = docs.groupBy("space").count().agg(F.max("count"), F.sum("count"), F.count("count")).first()
+    largest, rows, spaces = (n or 1 for n in sizes)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    # a score and a hit are nine bytes; small tables are dealt to all cores too
+    queries = max(1, min(tile_bytes // (9 * largest), 8 * PACKED_ROWS, -(-rows // cores)))
+    rows_a_block = min(PACKED_ROWS, queries)
+    blocks = -(-largest // rows_a_block)
+    blocks_a_tile = queries // rows_a_block
+    tiles = -(-blocks // blocks_a_tile)
+    place = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    packed = settle(docs.groupBy("space", place.alias("block")).agg(
+        F.collect_list(F.struct("id", "author_id", "vector")).alias("rows")).select(
+        "space", "block", F.col("rows.id").alias("ids"), F.col("rows.author_id").alias("authors"),
+        F.flatten("rows.vector").alias("flat")), "packed")
+    asked = packed.select("*", F.floor(F.col("block") / blocks_a_tile).cast("int").alias("tile"), F.lit(0).alias("passing"))
+    passed = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.lit(1).alias("passing"))
+    kind, space = (docs.schema[c].dataType.simpleString() for c in ("id", "space"))
+    schema = f"space {space}, id {kind}, hits bigint, misses bigint, mean_hit double, eer double, ap double, ndcg double"
+    out = arrow_schema(schema)
+    parts = min(100_000, tiles * spaces)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = None
+        mine: list[pa.RecordBatch] = []
+        for batch in batches:
+            for at in range(batch.num_rows):
+                block = batch.slice(at, 1)
+                if block.column("passing")[0].as_py() == 0:
+                    mine.append(block)
+                    continue
+                if tile is None:
+                    if not mine:            # nothing is asked in this tile
+                        return
+                    tile = QueryTile(mine, largest)
+                tile.take(block)
+        if tile is not None:
+            yield from tile.ranked(out)
+
+    # a tile's queries come before the candidates, whatever else shares the partition
+    streamed = asked.unionByName(passed).repartition(parts, "space", "tile").sortWithinPartitions("space", "tile", "passing")
+    return streamed.groupBy("space", "tile").applyInArrow(rank, schema)
+
+
+class QueryTile:
+    """The queries of one task with the scores of the candidates that have passed."""
+
+    def __init__(self, blocks: list[pa.RecordBatch], candidates: int):
+        self.space = blocks[0].column("space")[0]
+        self.ids = pa.concat_arrays([b.column("ids").flatten() for b in blocks])
+        authors = pa.concat_arrays([b.column("authors").flatten() for b in blocks]).dictionary_encode()
+        self.author, self.authors = authors.indices.to_numpy(), authors.dictionary
+        self.rows = np.concatenate([packed_rows(b) for b in blocks])
+        self.scores = np.empty((len(self.rows), candidates))
+        self.hits = np.empty((len(self.rows), candidates), bool)
+        self.seen = 0
+
+    def take(self, block: pa.RecordBatch) -> int:
+        """Score a block of candidates as the next run."""
+        rows, n = packed_rows(block), self.seen
+        end = n + len(rows)
+        self.scores[:, n:end] = np.rint(self.rows @ rows.T * 10 ** LOO_DIGITS)
+        # candidates of authors that nobody here has get -1
+        author = pc.fill_null(pc.index_in(block.column("authors").flatten(), value_set=self.authors), -1).to_numpy()
+        self.hits[:, n:end] = self.author[:, None] == author[None, :]
+        own = pc.fill_null(pc.index_in(block.column("ids").flatten(), value_set=self.ids), -1).to_numpy()
+        at = np.flatnonzero(own >= 0)
+        self.scores[own[at], n + at] = -np.inf      # a document is no candidate of its own
+        self.seen = end
+        return len(rows)
+
+    def ranked(self, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+        discounts = np.r_[0.0, np.cumsum(1 / np.log2(np.arange(1, self.seen + 1) + 1.0))]
+        found = []
+        for scores, hits in zip(self.scores[:, :self.seen], self.hits[:, :self.seen]):
+            keep = scores > -np.inf
+            scores, hits = scores[keep], hits[keep]
+            n = int(hits.sum())
+            mean = float(scores[hits].mean() / 10 ** LOO_DIGITS) if n else None
+            found.append((n, len(hits) - n, mean, *rank_one(scores, hits, discounts)))
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*found), list(out)[2:])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([self.space.as_py()] * len(found), out.field("space").type), self.ids.cast(out.field("id").type), *columns],
+            schema=out)
+
+
+def packed_rows(block: pa.RecordBatch) -> np.ndarray:
+    """Unit vectors of one packed block."""
+    n = len(block.column("ids").flatten())
+    return unit_rows(block.column("flat").flatten().to_numpy(zero_copy_only=False).reshape(n, -1))
+
+
+def sweep_metrics(docs: DataFrame, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """Mean quality per space of ``docs(space, id, author_id, vector)``:
+    ``(space, eer, ap, ndcg, mean_sim)``, rounded to 3 places."""
+    docs = settle(docs.select("space", "id", "author_id", "vector"), "docs")
+    quality = leave_one_out(docs, tile_bytes).groupBy("space").agg(
+        *[F.round(F.avg(c), 3).alias(c) for c in ("eer", "ap", "ndcg")])
+    # the mean over all cells of the cosine matrix is the squared length of the mean unit vector
+    total = docs.groupBy("space").agg(vector_sum(l2_normalize(F.col("vector"))).alias("s"), F.count(F.lit(1)).alias("n"))
+    similarity = total.select("space", F.round(F.try_divide(
+        dot(F.col("s"), F.col("s")), F.col("n") * F.col("n")), 3).alias("mean_sim"))
+    return quality.join(similarity, "space")
 
 
 def mean_similarity(docs: DataFrame) -> DataFrame:
@@ -255,14 +271,9 @@ def mean_similarity(docs: DataFrame) -> DataFrame:
                         .alias("mean_sim"))
 
 
-def model_performance(docs: DataFrame, digits: int = DIGITS,
-                      block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row of mean EER, AP, NDCG over documents and the mean similarity."""
-    docs = settle(docs.select("id", "author_id", "vector"), "docs")
-    scores = leave_one_out_metrics(docs, digits, block_rows).agg(
-        *[F.round(F.avg(c), 3).alias(c) for c in ("eer", "ap", "ndcg")])
-    similarity = mean_similarity(docs).select(F.round("mean_sim", 3).alias("mean_sim"))
-    return scores.withColumn("mean_sim", similarity.scalar())
+def model_performance(docs: DataFrame, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """One row of mean EER, AP, NDCG over ``docs(id, author_id, vector)`` and the mean similarity."""
+    return sweep_metrics(docs.withColumn("space", F.lit(0)), tile_bytes).drop("space")
 
 
 def auc(bins: DataFrame) -> DataFrame:

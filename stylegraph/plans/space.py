@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from stylegraph.operators import cluster, metrics, sweep, tfidf
-from stylegraph.operators.blocks import fits_beside
 from stylegraph.plans import explain
 from stylegraph.sources.staging import settle
 
@@ -17,34 +15,28 @@ def sweep_performance(docs: DataFrame, grid: list[float],
 
     ``docs(author_id, document_id, embedding)``; ``test`` defaults to the same
     documents. One row ``(eps, eer, ap, ndcg, mean_sim, bases)`` per threshold.
-    The distances are computed once for all thresholds. When the tested documents
-    and all centroids fit one task, one job ranks every threshold; else the
-    thresholds are evaluated one after the other.
+    The distances are computed once for all thresholds, documents are projected on the
+    centroids of all thresholds at once, and one job ranks them in every space.
     """
     means = settle(cluster.author_means(docs), "means")
     points = cluster.unit_points(means, "author_id")
     labels = settle(cluster.eps_sweep(points, grid).withColumnRenamed("id", "author_id"), "sweep")
     centroids = settle(cluster.centroids(means, labels, ["eps"]), "centroids")
-    bases = centroids.groupBy("eps").agg(F.count(F.lit(1)).alias("bases"))
+    counted = centroids.groupBy("eps").agg(F.count(F.lit(1)).alias("bases"))
     tested = settle((test if test is not None else docs).select(
         F.col("document_id").alias("id"), "author_id",
         F.col("embedding").cast("array<double>").alias("vector")), "tested")
-    if fits_beside(tested) and fits_beside(centroids.select(F.col("centroid").alias("vector"))):
-        spaces: dict[float, list] = {}
-        for row in centroids.orderBy("eps", "cluster_label").toLocalIterator():
-            spaces.setdefault(row["eps"], []).append(row["centroid"])
-        quality = metrics.sweep_metrics(tested, {e: np.array(c) for e, c in spaces.items()})
-        quality = quality.withColumnRenamed("space", "eps")
-    else:
-        quality = None
-        for eps in grid:
-            here = explain.directions(centroids.filter(F.col("eps") == float(eps)), normalize=False)
-            inner = explain.interpretable_vectors(tested.select("id", "vector"), here)
-            inner = inner.select("id", F.col("scores").alias("vector")).join(
-                tested.select("id", "author_id"), "id")
-            row = metrics.model_performance(inner).withColumn("eps", F.lit(float(eps)))
-            quality = row if quality is None else quality.unionByName(row)
-    return settle(quality.join(bases, "eps"), "performance")
+    # the place of the threshold above, the cluster (noise is -1) below: in order of threshold and label
+    steps = F.array(*[F.lit(float(e)) for e in grid])
+    code = F.shiftleft(F.array_position(steps, F.col("eps")), 40) + F.col("cluster_label") + 1
+    bases = centroids.select(code.alias("id"), F.col("centroid").alias("vector"))
+    inner = explain.interpretable_vectors(tested.select("id", "vector"), bases)
+    cells = F.filter(F.arrays_zip("labels", "scores"), lambda c: F.shiftright(c["labels"], 40) == F.col("place"))
+    inner = inner.select("id", F.explode(F.sequence(F.lit(1), F.lit(len(grid)))).alias("place"), "labels", "scores").select(
+        "id", F.element_at(steps, F.col("place")).alias("space"), F.transform(cells, lambda c: c["scores"]).alias("vector"))
+    ranked = inner.join(tested.select("id", "author_id"), "id")
+    quality = metrics.sweep_metrics(ranked).withColumnRenamed("space", "eps")
+    return settle(quality.join(counted, "eps"), "performance")
 
 
 def build_space(docs: DataFrame, assignments: DataFrame, eps: float | None = None,

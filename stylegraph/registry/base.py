@@ -50,6 +50,13 @@ class Tables:
             (F.floor(F.col("vec_id") / 50) % 2).cast("bigint").alias("side"), "label",
             F.col("embedding").cast("array<double>").alias("embedding"))
 
+    @property
+    def quads(self) -> DataFrame:
+        """Vectors with an author for each four of them, so that authors grow with the table."""
+        return self.embeddings.select(
+            F.col("vec_id").alias("document_id"), F.floor(F.col("vec_id") / 4).alias("author_id"),
+            F.col("embedding").cast("array<double>").alias("embedding"))
+
     @property
     def assignments(self) -> DataFrame:
         """Every word of a document as a style feature, with its position."""
@@ -87,6 +94,8 @@ CTE = {
             FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id))""",
     "docs50": """docs50 AS (SELECT vec_id AS document_id, vec_id % 50 AS author_id,
         (vec_id // 50) % 2 AS side, label, embedding::DOUBLE[] AS embedding FROM embeddings)""",
+    "quads": """quads AS (SELECT vec_id AS document_id, vec_id // 4 AS author_id,
+        embedding::DOUBLE[] AS embedding FROM embeddings)""",
     "assignments": r"""assignments AS (SELECT document_id, pos, feature FROM (
         SELECT doc_id AS document_id, unnest(w) AS feature,
                unnest(generate_series(0, len(w) - 1)) AS pos

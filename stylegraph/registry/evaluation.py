@@ -8,7 +8,7 @@ from stylegraph.functions import vectors as V
 from stylegraph.operators import cluster, metrics, sweep
 from stylegraph.plans import explain, space as plan
 from stylegraph.registry.base import Tables, query, r6, with_
-from stylegraph.registry.space import (CENTROIDS, GRID, PAIRS, author_labels, labels_cte, means_cte,
+from stylegraph.registry.space import (CENTROIDS, GRID, NEAR, PAIRS, SWEEP, author_labels, labels_cte, means_cte,
                                        unit_docs)
 from stylegraph.sources.staging import settle
 
@@ -81,34 +81,43 @@ def _ndcg(t: Tables):
     return metrics.ndcg(_bins(t), ["document_id"]).select("document_id", r6("ndcg", "ndcg"))
 
 
-LOO = """interp AS (SELECT document_id, author_id, list(s ORDER BY cluster_label) AS v FROM (
+def loo_sql(keys: str, interp: str) -> str:
+    """CTEs that rank all other documents for each document of ``interp(document_id, author_id, v)``."""
+    same = "".join(f"a.{k.strip()} = b.{k.strip()} AND " for k in keys.split(",") if k.strip() != "document_id")
+    named = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    return interp + f""",
+    loo AS (SELECT {named}, round(list_cosine_similarity(a.v, b.v), 12) + 0.0 AS score,
+        a.author_id = b.author_id AS hit FROM interp a JOIN interp b ON {same} a.document_id <> b.document_id),
+    bins AS (SELECT {keys}, score, count(*) FILTER (WHERE hit) AS pos,
+        count(*) FILTER (WHERE NOT hit) AS neg FROM loo GROUP BY ALL)"""
+
+
+INTERP_SQL = """interp AS (SELECT document_id, author_id, list(s ORDER BY cluster_label) AS v FROM (
         SELECT d.document_id, d.author_id, c.cluster_label, list_dot_product(d.embedding, c.centroid) AS s
-        FROM docs50 d, centroids c) GROUP BY 1, 2),
-    loo AS (SELECT a.document_id, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS score,
-        a.author_id = b.author_id AS hit FROM interp a JOIN interp b ON a.document_id <> b.document_id),
-    bins AS (SELECT document_id, score, count(*) FILTER (WHERE hit) AS pos,
-        count(*) FILTER (WHERE NOT hit) AS neg FROM loo GROUP BY 1, 2)"""
-_LOO_SQL = with_("docs50", recursive=True, extra=",\n".join(
-    [means_cte("docs50"), PAIRS, labels_cte(0.74), CENTROIDS, LOO]))
+        FROM quads d, centroids c) GROUP BY 1, 2)"""
+_LOO_SQL = with_("quads", recursive=True, extra=",\n".join(
+    [means_cte("quads"), PAIRS, labels_cte(NEAR), CENTROIDS, loo_sql("document_id", INTERP_SQL)]))
 
 
 def interp_docs(t: Tables):
-    """Documents of the 50 authors in the space of the clusters at 0.74, noise kept."""
-    means, labels = author_labels(t, 0.74, t.docs50)
+    """Documents in the space of the clusters of their authors, noise kept."""
+    means, labels = author_labels(t, NEAR, t.quads)
     bases = explain.directions(cluster.centroids(means, labels), normalize=False)
-    inner = explain.interpretable_vectors(unit_docs(t.docs50), bases)
-    authors = t.docs50.select(F.col("document_id").alias("id"), "author_id")
+    inner = explain.interpretable_vectors(unit_docs(t.quads), bases)
+    authors = t.quads.select(F.col("document_id").alias("id"), "author_id")
     return settle(inner.select("id", F.col("scores").alias("vector")).join(authors, "id"), "interp")
 
 
-@query("leave_one_out_pairs", _LOO_SQL + """SELECT document_id, sum(pos)::BIGINT AS same_author,
-    sum(neg)::BIGINT AS other_author, round(sum(pos * score) / nullif(sum(pos), 0), 6) + 0.0 AS mean_same
-    FROM bins GROUP BY document_id""")
+@query("leave_one_out_pairs", _LOO_SQL + "," + curve("document_id") + """
+    SELECT m.*, round(e.eer, 6) AS eer, round(a.ap, 6) AS ap, round(n.ndcg, 6) AS ndcg FROM (
+    SELECT document_id, sum(pos)::BIGINT AS same_author, sum(neg)::BIGINT AS other_author,
+    round(sum(pos * score) / nullif(sum(pos), 0), 6) + 0.0 AS mean_same FROM bins GROUP BY document_id) m
+    JOIN eers e USING (document_id) JOIN aps a USING (document_id) JOIN ndcgs n USING (document_id)""")
 def _loo_pairs(t: Tables):
-    bins = metrics.leave_one_out_bins(interp_docs(t))
-    return bins.groupBy(F.col("id").alias("document_id")).agg(
-        F.sum("pos").alias("same_author"), F.sum("neg").alias("other_author"),
-        r6(F.sum(F.col("pos") * F.col("score")) / F.nullif(F.sum("pos"), F.lit(0)), "mean_same"))
+    ranked = metrics.leave_one_out(interp_docs(t).withColumn("space", F.lit(0)))
+    return ranked.select(F.col("id").alias("document_id"), F.col("hits").alias("same_author"),
+                         F.col("misses").alias("other_author"), r6("mean_hit", "mean_same"),
+                         *[r6(c, c) for c in ("eer", "ap", "ndcg")])
 
 
 @query("model_performance", _LOO_SQL + "," + curve("document_id") + """
@@ -212,8 +221,33 @@ def _select_sweep_point(t: Tables):
     return sweep.select_sweep_point(series(t), "x", {"m1": False, "m2": True, "m3": True}, ["method"])
 
 
-@query("best_eps")
-def _best_eps(t: Tables):
+SWEPT = """middles AS (SELECT eps, cluster_label, list(v ORDER BY pos) AS centroid FROM (
+        SELECT eps, cluster_label, pos, avg(x) AS v FROM (
+        SELECT s.eps, s.cluster_label, unnest(m.vector) AS x, unnest(generate_series(1, len(m.vector))) AS pos
+        FROM means m JOIN sweep s ON s.author_id = m.author_id) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    interp AS (SELECT eps, document_id, author_id, list(s ORDER BY cluster_label) AS v FROM (
+        SELECT c.eps, d.document_id, d.author_id, c.cluster_label, list_dot_product(d.embedding, c.centroid) AS s
+        FROM quads d, middles c) GROUP BY 1, 2, 3)"""
+_SWEPT_SQL = with_("quads", recursive=True, extra=",\n".join(
+    [means_cte("quads"), PAIRS, SWEEP, loo_sql("eps, document_id", SWEPT), curve("eps, document_id"), """
+    performance AS (SELECT eps, round(avg(e.eer), 3) AS eer, round(avg(a.ap), 3) AS ap, round(avg(n.ndcg), 3) AS ndcg
+        FROM eers e JOIN aps a USING (eps, document_id) JOIN ndcgs n USING (eps, document_id) GROUP BY eps),
+    whole AS (SELECT p.eps, p.eer, p.ap, p.ndcg, m.mean_sim, b.bases FROM performance p JOIN (
+        SELECT a.eps, round(avg(list_cosine_similarity(a.v, b.v)), 3) AS mean_sim FROM interp a JOIN interp b ON a.eps = b.eps
+        GROUP BY a.eps) m USING (eps) JOIN (SELECT eps, count(*) AS bases FROM middles GROUP BY eps) b USING (eps))"""]))
+
+
+def performance(t: Tables):
+    return plan.sweep_performance(t.quads, GRID)
+
+
+@query("sweep_performance", _SWEPT_SQL + "SELECT eps, eer, ap, ndcg, mean_sim, bases FROM whole")
+def _sweep_performance(t: Tables):
     """The whole sweep: cluster, project and rank at every eps."""
-    docs = t.docs50.select("author_id", "document_id", "embedding")
-    return sweep.best_eps(plan.sweep_performance(docs, GRID))
+    return performance(t).select("eps", "eer", "ap", "ndcg", "mean_sim", "bases")
+
+
+@query("best_eps", _SWEPT_SQL + """SELECT eer, ap, ndcg, mean_sim, eps FROM whole
+    ORDER BY eer, ap, ndcg, mean_sim, eps LIMIT 1""")
+def _best_eps(t: Tables):
+    return sweep.best_eps(performance(t))

@@ -149,9 +149,8 @@ def _csv(t: Tables):
     return back.select("conv_id", "turn", "role", F.md5("text").alias("hash"))
 
 
-@query("write_space", """SELECT 'authors' AS part, count(DISTINCT d.source) AS n FROM documents d
-    JOIN embeddings e ON e.vec_id = d.doc_id
-    UNION ALL SELECT 'documents', count(*) FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""")
+@query("write_space", """SELECT 'authors' AS part, count(DISTINCT source) AS n FROM documents
+    UNION ALL SELECT 'documents', count(*) FROM documents""")
 def _write_space(t: Tables):
     from stylegraph.plans.space import build_space
     path = fresh(t, "space")

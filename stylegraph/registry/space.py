@@ -12,6 +12,7 @@ from stylegraph.registry.base import CTE, Tables, query, r6, with_
 from stylegraph.sources.staging import settle
 
 EPS = 0.80
+NEAR = 0.64          # among the authors of four vectors each
 GRID = [round(0.60 + 0.02 * i, 2) for i in range(13)]
 
 
@@ -163,31 +164,31 @@ def _vector_mean(t: Tables):
 
 # --- distances and clusters ------------------------------------------------
 
-@query("pairwise_cosine_distance", with_("docs50", extra=",\n".join([means_cte("docs50"), PAIRS])) + """,
+@query("pairwise_cosine_distance", with_("quads", extra=",\n".join([means_cte("quads"), PAIRS])) + """,
     near AS (SELECT a.author_id AS a, b.author_id AS b, 1 - list_cosine_similarity(a.vector, b.vector) AS d
         FROM means a JOIN means b ON a.author_id <> b.author_id)
     SELECT a AS author_id, rank, b AS neighbour, round(d, 6) + 0.0 AS distance FROM (
     SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS rank FROM near)
     WHERE rank <= 5""")
 def _pairwise_cosine_distance(t: Tables):
-    points = settle(cluster.unit_points(cluster.author_means(t.docs50), "author_id"), "points")
+    points = settle(cluster.unit_points(cluster.author_means(t.quads), "author_id"), "points")
     near = top_matches(points, points, 5, exclude_same=True)
     return near.select(F.col("id").alias("author_id"), "rank", F.col("match").alias("neighbour"),
                        r6(1 - F.col("score"), "distance"))
 
 
-@query("eps_neighbours", with_("docs50", extra=",\n".join([means_cte("docs50"), PAIRS])) + """,
+@query("eps_neighbours", with_("quads", extra=",\n".join([means_cte("quads"), PAIRS])) + """,
     both_ways AS (SELECT a, b, d FROM pairs UNION ALL SELECT b, a, d FROM pairs)
-    SELECT a AS author_id, count(*) FILTER (WHERE d <= 0.74) AS neighbours
-    FROM both_ways GROUP BY a""")
+    SELECT a AS author_id, count(*) FILTER (WHERE d <= {}) AS neighbours
+    FROM both_ways GROUP BY a""".format(NEAR))
 def _eps_neighbours(t: Tables):
-    points = settle(cluster.unit_points(cluster.author_means(t.docs50), "author_id"), "points")
-    return similarity.neighbour_counts(points, 0.74).withColumnRenamed("id", "author_id")
+    points = settle(cluster.unit_points(cluster.author_means(t.quads), "author_id"), "points")
+    return similarity.neighbour_counts(points, NEAR).withColumnRenamed("id", "author_id")
 
 
-@query("dbscan", space_sql(view="docs50", eps=0.74) + "SELECT author_id, cluster_label FROM labels")
+@query("dbscan", space_sql(view="quads", eps=NEAR) + "SELECT author_id, cluster_label FROM labels")
 def _dbscan(t: Tables):
-    return author_labels(t, 0.74, t.docs50)[1]
+    return author_labels(t, NEAR, t.quads)[1]
 
 
 @query("drop_noise", space_sql() + """SELECT author_id, cluster_label FROM labels
@@ -218,15 +219,15 @@ SWEEP = f"""grid AS (SELECT unnest([{_GRID_SQL}])::DOUBLE AS eps),
         ON h.eps = g.eps AND h.component = g.component)"""
 
 
-@query("eps_sweep", with_("docs50", recursive=True,
-                          extra=",\n".join([means_cte("docs50"), PAIRS, SWEEP]))
+@query("eps_sweep", with_("quads", recursive=True,
+                          extra=",\n".join([means_cte("quads"), PAIRS, SWEEP]))
        + "SELECT eps, author_id, cluster_label FROM sweep")
 def _eps_sweep(t: Tables):
-    points = settle(cluster.unit_points(cluster.author_means(t.docs50), "author_id"), "points")
+    points = settle(cluster.unit_points(cluster.author_means(t.quads), "author_id"), "points")
     return cluster.eps_sweep(points, GRID).withColumnRenamed("id", "author_id")
 
 
-@query("silhouette_cosine", space_sql(view="docs50", eps=0.74) + """,
+@query("silhouette_cosine", space_sql(view="quads", eps=NEAR) + """,
     kept AS (SELECT m.author_id, m.vector, l.cluster_label FROM means m
         JOIN labels l ON l.author_id = m.author_id WHERE l.cluster_label <> -1),
     to_cluster AS (SELECT a.author_id, a.cluster_label AS own, b.cluster_label AS other,
@@ -238,17 +239,17 @@ def _eps_sweep(t: Tables):
     SELECT (SELECT count(DISTINCT cluster_label) FROM kept) AS clusters, count(*) AS points,
         round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM ab""")
 def _silhouette(t: Tables):
-    means, labels = author_labels(t, 0.74, t.docs50)
+    means, labels = author_labels(t, NEAR, t.quads)
     points = cluster.unit_points(means, "author_id")
     got = cluster.silhouette_cosine(points, labels.withColumnRenamed("author_id", "id"))
     return got.select("clusters", "points", r6("silhouette", "silhouette"))
 
 
-@query("small_clusters", space_sql(view="docs50", eps=0.74) + """
+@query("small_clusters", space_sql(view="quads", eps=NEAR) + """
     SELECT author_id, cluster_label FROM labels WHERE cluster_label IN (
     SELECT cluster_label FROM labels GROUP BY 1 HAVING count(*) < 10)""")
 def _small_clusters(t: Tables):
-    return cluster.small_clusters(author_labels(t, 0.74, t.docs50)[1]).select(
+    return cluster.small_clusters(author_labels(t, NEAR, t.quads)[1]).select(
         "author_id", "cluster_label")
 
 

@@ -57,17 +57,36 @@ def test_rankings_with_ties(spark):
         assert metrics.rank_one(s, h, discounts) == pytest.approx(want_all[q], abs=1e-9)
 
 
-def test_blocks_and_task_rank_alike(spark):
+def test_leave_one_out_streams_to_the_same_ranks(spark):
     rng = np.random.default_rng(2)
-    docs = spark.createDataFrame(
-        [(i, f"a{i % 7 if i > 40 else 0}", [float(x) for x in rng.normal(size=4)]) for i in range(90)],
-        "id bigint, author_id string, vector array<double>")
-    one = metrics.leave_one_out_metrics(docs).orderBy("id").collect()
-    many = metrics.leave_one_out_metrics(docs, block_rows=25).orderBy("id").collect()
-    assert len(one) == 90
-    for a, b in zip(one, many):
-        assert tuple(a) == pytest.approx(tuple(b[c] for c in ("id", "eer", "ap", "ndcg")), abs=1e-9)
-    assert metrics.model_performance(docs).first() == metrics.model_performance(docs, block_rows=25).first()
+    vectors = [[float(x) for x in rng.normal(size=4)] for _ in range(90)]
+    vectors[50] = vectors[3]                                  # an exact copy ties
+    vectors[60] = [2 * x for x in vectors[3]]
+    docs = [(s, i, f"a{i % 7 if i > 40 else 0}", vectors[i]) for s in (0, 1) for i in range(90) if not (s and i % 3)]
+    docs.append((2, 7, "lonely", vectors[0]))
+    frame = spark.createDataFrame(docs, "space int, id bigint, author_id string, vector array<double>")
+    want = {}
+    for s, i, author, v in docs:
+        others = [r for r in docs if r[0] == s and r[1] != i]
+        cos = [round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 12) for *_, w in others]
+        hits = [int(r[2] == author) for r in others]
+        mean = np.mean([c for c, h in zip(cos, hits) if h]) if any(hits) else None
+        want[s, i] = (sum(hits), len(hits) - sum(hits), mean, *direct(cos, hits))
+    for tile_bytes in (1, 9 * 90 * 20, 128 << 20):            # one query a tile, twenty, all
+        got = metrics.leave_one_out(frame, tile_bytes).collect()
+        assert len(got) == len(docs)
+        for r in got:
+            assert tuple(r)[2:] == pytest.approx(want[r.space, r.id], abs=1e-9)
+    assert metrics.leave_one_out(frame.limit(0)).count() == 0
+
+
+def test_sweep_metrics_per_space(spark):
+    docs = spark.createDataFrame([(e, i, i % 2, [1.0, float(i % 2) * e]) for e in (1.0, 2.0) for i in range(6)],
+                                 "space double, id bigint, author_id bigint, vector array<double>")
+    got = {r.space: r for r in metrics.sweep_metrics(docs).collect()}
+    assert set(got) == {1.0, 2.0} and all(r.ap == r.ndcg == 1.0 and r.eer == 0.0 for r in got.values())
+    one = metrics.model_performance(docs.filter("space = 2").drop("space")).first()
+    assert tuple(one) == tuple(got[2.0])[1:]
 
 
 def test_auc_counts_ties_half(spark):

@@ -62,4 +62,5 @@ def test_split_leaves_no_author_on_both_sides(spark):
 
 def test_a_single_document_has_no_ranking(spark):
     df = spark.createDataFrame([(1, "a", [1.0, 0.0])], "id bigint, author_id string, vector array<double>")
-    assert tuple(metrics.leave_one_out_metrics(df).first()) == (1, 1.0, 0.0, 0.0)
+    got = metrics.leave_one_out(df.selectExpr("0 AS space", "*")).first()
+    assert tuple(got) == (0, 1, 0, 0, None, 1.0, 0.0, 0.0)
