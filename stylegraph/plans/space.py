@@ -40,11 +40,12 @@ def sweep_performance(docs: DataFrame, grid: list[float],
 
 
 def build_space(docs: DataFrame, assignments: DataFrame, eps: float | None = None,
-                grid: list[float] | None = None) -> dict[str, DataFrame]:
-    """Clustered authors and documents, centroids and feature weights.
+                grid: list[float] | None = None, top_k: int = 5, generate=None) -> dict[str, DataFrame]:
+    """Clustered authors and documents, centroids, feature weights and a summary of each cluster.
 
     ``docs(author_id, document_id, embedding)`` and ``assignments(document_id,
-    feature)``. Without ``eps`` the best threshold of ``grid`` is taken.
+    feature)``. Without ``eps`` the best threshold of ``grid`` is taken. Summaries join the
+    ``top_k`` heaviest features; a text generator makes a paragraph of them.
     """
     means = settle(cluster.author_means(docs), "means")
     if eps is None:
@@ -54,9 +55,11 @@ def build_space(docs: DataFrame, assignments: DataFrame, eps: float | None = Non
     labels = settle(cluster.dbscan(points, eps).withColumnRenamed("id", "author_id"), "labels")
     clustered = tfidf.attach_cluster(docs.select("author_id", "document_id"), labels)
     counts = tfidf.cluster_style_counts(assignments, clustered)
+    weights = settle(tfidf.cluster_tfidf(counts, tfidf.feature_idf(assignments)), "weights")
     return {
         "documents": clustered,
         "authors": labels,
         "centroids": cluster.centroids(means, labels),
-        "weights": tfidf.cluster_tfidf(counts, tfidf.feature_idf(assignments)),
+        "weights": weights,
+        "summaries": explain.cluster_texts(weights, top_k, generate),
     }

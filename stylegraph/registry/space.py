@@ -510,79 +510,75 @@ def _describe_documents(t: Tables):
                        "feature_rank", "feature")
 
 
-@query("build_interpretable_space", space_sql(IDF, COUNTS, WEIGHTS) + """
+TEXTS = """texts AS (SELECT cluster_label, list(feature ORDER BY feature_rank) AS features,
+        string_agg(feature, ' - ' ORDER BY feature_rank) AS summary FROM top GROUP BY cluster_label)"""
+
+
+@query("build_interpretable_space", space_sql(IDF, COUNTS, WEIGHTS, TOP, TEXTS) + """
     SELECT w.cluster_label, c.authors, w.feature, round(w.weight, 6) + 0.0 AS weight,
-        round(sqrt(list_dot_product(c.centroid, c.centroid)), 6) AS centroid_norm
-    FROM weights w JOIN centroids c ON c.cluster_label = w.cluster_label""")
+        round(sqrt(list_dot_product(c.centroid, c.centroid)), 6) AS centroid_norm, t.summary
+    FROM weights w JOIN centroids c ON c.cluster_label = w.cluster_label LEFT JOIN texts t ON t.cluster_label = w.cluster_label""")
 def _build_space(t: Tables):
     _, _, centroids, weights = space(t)
+    weights = settle(weights, "weights")
     size = centroids.select("cluster_label", "authors", r6(V.norm(F.col("centroid")), "centroid_norm"))
+    size = size.join(explain.cluster_texts(weights).select("cluster_label", "summary"), "cluster_label", "left")
     return weights.join(size, "cluster_label").select(
-        "cluster_label", "authors", "feature", r6("weight", "weight"), "centroid_norm")
-
-
-MATCHES = """asked AS (SELECT document_id AS query_id, author_id, (document_id // 20) AS batch
-        FROM docs WHERE document_id % 20 = 0),
-    matches AS (SELECT a.query_id, d.document_id AS candidate_id FROM asked a
-        JOIN docs d ON d.document_id // 20 = a.batch AND d.document_id <> a.query_id)"""
-
-
-def prediction(t: Tables):
-    """Each block of 20 documents: the first is the query, the others its candidates."""
-    centroids = space_centroids(t)[2]
-    docs = t.docs.select("document_id", F.floor(F.col("document_id") / 20).alias("batch"))
-    queries = docs.filter("document_id % 20 = 0").select(F.col("document_id").alias("query_id"), "batch")
-    matches = (queries.join(docs, "batch").filter("document_id <> query_id")
-               .select("query_id", F.col("document_id").alias("candidate_id")))
-    return explain.explain_prediction(unit_docs(t.docs), queries, matches, centroids, 2)
+        "cluster_label", "authors", "feature", r6("weight", "weight"), "centroid_norm", "summary")
 
 
+#: Candidates explained per query and space: the report is a top-k list, ranks count all candidates.
+BEST = 10
 INTERP = """interp AS (SELECT document_id, list(score ORDER BY cluster_label) AS v FROM (
         SELECT d.document_id, b.cluster_label, list_dot_product(d.embedding, b.base) AS score
         FROM docs d, bases b) GROUP BY document_id)"""
-PREDICTED = """sims AS (SELECT m.query_id, m.candidate_id,
+PLACED = f"""placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY latent DESC, candidate_id) AS latent_rank,
+        row_number() OVER (PARTITION BY query_id ORDER BY interp DESC, candidate_id) AS interp_rank FROM sims),
+    matches AS (SELECT * FROM placed WHERE latent_rank <= {BEST} OR interp_rank <= {BEST})"""
+PREDICTED = """both_spaces AS MATERIALIZED (SELECT d.document_id, d.embedding, x.v FROM docs d JOIN interp x USING (document_id)),
+    sims AS (SELECT a.document_id AS query_id, b.document_id AS candidate_id,
         round(list_cosine_similarity(a.embedding, b.embedding), 9) AS latent,
-        round(list_cosine_similarity(x.v, y.v), 9) AS interp
-        FROM matches m JOIN docs a ON a.document_id = m.query_id
-        JOIN docs b ON b.document_id = m.candidate_id
-        JOIN interp x ON x.document_id = m.query_id
-        JOIN interp y ON y.document_id = m.candidate_id)"""
-
-
-@query("rank_candidates", space_sql(BASES, MATCHES, INTERP, PREDICTED) + """
-    SELECT query_id, candidate_id,
-        row_number() OVER (PARTITION BY query_id ORDER BY latent DESC, candidate_id) AS latent_rank,
-        row_number() OVER (PARTITION BY query_id ORDER BY interp DESC, candidate_id) AS interp_rank
-    FROM sims""")
+        round(list_cosine_similarity(a.v, b.v), 9) AS interp
+        FROM both_spaces a JOIN both_spaces b ON a.document_id % 20 = 0 AND a.document_id <> b.document_id),
+    """ + PLACED
+
+
+def asked(t: Tables):
+    """Every document whose id is divisible by 20 is a query, all others are its candidates."""
+    return t.docs.filter("document_id % 20 = 0").select(F.col("document_id").alias("query_id"))
+
+
+@query("rank_candidates", space_sql(BASES, INTERP, PREDICTED) + """
+    SELECT query_id, candidate_id, latent_rank, interp_rank FROM matches""")
 def _rank_candidates(t: Tables):
-    return prediction(t)[0].select("query_id", "candidate_id", "latent_rank", "interp_rank")
+    spaces = explain.two_spaces(unit_docs(t.docs), explain.directions(space_centroids(t)[2]))
+    return explain.rank_candidates(spaces, asked(t), BEST).select(
+        "query_id", "candidate_id", "latent_rank", "interp_rank")
 
 
-_ON_QUERY = """SELECT m.query_id, m.candidate_id, r.rank, r.cluster_label,
-    round(list_dot_product(d.embedding, b.base), 6) + 0.0 AS score FROM matches m
+_ON_QUERY = """SELECT m.query_id, m.candidate_id, m.latent_rank, m.interp_rank, r.rank, r.cluster_label,
+    round(r.score, 6) + 0.0 AS query_score, round(s.score, 6) + 0.0 AS score FROM matches m
     JOIN ranked r ON r.document_id = m.query_id AND r.rank <= 2
-    JOIN docs d ON d.document_id = m.candidate_id
-    JOIN bases b ON b.cluster_label = r.cluster_label"""
+    JOIN scores s ON s.document_id = m.candidate_id AND s.cluster_label = r.cluster_label"""
 
 
-@query("scores_on_query_clusters", space_sql(BASES, SCORES, RANKED, MATCHES) + _ON_QUERY)
+@query("scores_on_query_clusters", space_sql(BASES, SCORES, RANKED, INTERP, PREDICTED) + """
+    SELECT query_id, candidate_id, rank, cluster_label, score FROM (""" + _ON_QUERY + ")")
 def _scores_on_query_clusters(t: Tables):
-    return prediction(t)[1].select("query_id", "candidate_id", "rank", "cluster_label",
-                                   r6("score", "score"))
+    spaces = explain.two_spaces(unit_docs(t.docs), explain.directions(space_centroids(t)[2]))
+    ranks = settle(explain.rank_candidates(spaces, asked(t), BEST).select("query_id", "candidate_id"), "ranks")
+    clusters = spaces.select(F.explode("labels").alias("cluster_label")).distinct()
+    return explain.explain_matches(ranks, spaces, clusters, 2).select(
+        "query_id", "candidate_id", "rank", "cluster_label", r6("score", "score"))
 
 
-@query("explain_prediction", space_sql(BASES, SCORES, RANKED, MATCHES, INTERP, PREDICTED) + """
-    SELECT q.*, s.latent_rank, s.interp_rank FROM (""" + _ON_QUERY + """) q JOIN (
-    SELECT query_id, candidate_id,
-        row_number() OVER (PARTITION BY query_id ORDER BY latent DESC, candidate_id) AS latent_rank,
-        row_number() OVER (PARTITION BY query_id ORDER BY interp DESC, candidate_id) AS interp_rank
-    FROM sims) s ON s.query_id = q.query_id AND s.candidate_id = q.candidate_id""")
+@query("explain_prediction", space_sql(IDF, COUNTS, WEIGHTS, BASES, SCORES, RANKED, TOP, TEXTS, INTERP, PREDICTED) + """
+    SELECT q.*, t.features, t.summary FROM (""" + _ON_QUERY + ") q LEFT JOIN texts t ON t.cluster_label = q.cluster_label")
 def _explain_prediction(t: Tables):
-    ranks, scores = prediction(t)
-    ranks = ranks.select("query_id", "candidate_id", "latent_rank", "interp_rank")
-    return scores.join(ranks, ["query_id", "candidate_id"]).select(
-        "query_id", "candidate_id", "rank", "cluster_label", r6("score", "score"),
-        "latent_rank", "interp_rank")
+    _, _, centroids, weights = space(t)
+    rows = explain.explain_prediction(unit_docs(t.docs), asked(t), centroids, weights, top_c=2, candidates=BEST)
+    return rows.select("query_id", "candidate_id", "latent_rank", "interp_rank", "rank", "cluster_label",
+                       r6("query_score", "query_score"), r6("score", "score"), "features", "summary")
 
 
 REPRESENTATIVE = """chosen AS (SELECT author_id, document_id, closeness FROM (
@@ -602,33 +598,38 @@ def _representative(t: Tables):
         "author_id", "document_id", r6("closeness", "closeness"))
 
 
-@query("explain_prediction_authors", space_sql(BASES, REPRESENTATIVE) + """,
-    unit AS (SELECT document_id, author_id, list_transform(embedding,
+AUTHOR_SPACES = """unit AS MATERIALIZED (SELECT document_id, author_id, list_transform(embedding,
         lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS v FROM docs),
     inner_space AS (SELECT document_id, author_id, list(s ORDER BY cluster_label) AS v FROM (
         SELECT u.document_id, u.author_id, b.cluster_label, list_dot_product(u.v, b.base) AS s
         FROM unit u, bases b) GROUP BY 1, 2),
-    latent AS (SELECT b.author_id, avg(list_cosine_similarity(a.v, b.v)) AS s FROM unit a
-        JOIN unit b ON a.author_id = 'src0' AND b.author_id <> 'src0' GROUP BY 1),
-    interp AS (SELECT b.author_id, avg(list_cosine_similarity(a.v, b.v)) AS s FROM inner_space a
-        JOIN inner_space b ON a.author_id = 'src0' AND b.author_id <> 'src0' GROUP BY 1),
-    places AS (SELECT l.author_id,
-        row_number() OVER (ORDER BY round(l.s, 9) DESC, l.author_id) AS latent_rank,
-        row_number() OVER (ORDER BY round(i.s, 9) DESC, l.author_id) AS interp_rank
-        FROM latent l JOIN interp i ON i.author_id = l.author_id)
-    SELECT c.author_id, c.document_id, b.cluster_label, p.latent_rank, p.interp_rank,
-        round((list_dot_product(u.v, b.base) + 1) / 2, 6) + 0.0 AS score
-    FROM chosen c JOIN places p ON p.author_id = c.author_id
-    JOIN unit u ON u.document_id = c.document_id, bases b""")
+    latent_means AS (SELECT author_id, list(m ORDER BY pos) AS v FROM (SELECT author_id, pos, avg(x) AS m FROM (
+        SELECT author_id, unnest(v) AS x, unnest(generate_series(1, len(v))) AS pos FROM unit) GROUP BY 1, 2) GROUP BY 1),
+    interp_means AS (SELECT author_id, list(m ORDER BY pos) AS v FROM (SELECT author_id, pos, avg(x) AS m FROM (
+        SELECT author_id, unnest(v) / sqrt(list_dot_product(v, v)) AS x, unnest(generate_series(1, len(v))) AS pos
+        FROM inner_space) GROUP BY 1, 2) GROUP BY 1),
+    sims AS (SELECT a.author_id AS query_id, b.author_id AS candidate_id, round(list_dot_product(a.v, b.v), 9) AS latent,
+        round(list_dot_product(x.v, y.v), 9) AS interp FROM latent_means a JOIN latent_means b ON a.author_id <> b.author_id
+        JOIN interp_means x ON x.author_id = a.author_id JOIN interp_means y ON y.author_id = b.author_id),
+    """ + PLACED + """,
+    shown AS (SELECT c.author_id, c.document_id, b.cluster_label, (list_dot_product(u.v, b.base) + 1) / 2 AS score
+        FROM chosen c JOIN unit u ON u.document_id = c.document_id, bases b),
+    best AS (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY round(score, 9) DESC, cluster_label) AS rank FROM shown)"""
+
+
+@query("explain_prediction_authors", space_sql(IDF, COUNTS, WEIGHTS, BASES, TOP, TEXTS, REPRESENTATIVE, AUTHOR_SPACES) + """
+    SELECT m.query_id, m.candidate_id, m.latent_rank, m.interp_rank, q.document_id AS query_document,
+        s.document_id AS candidate_document, q.rank, q.cluster_label, round(q.score, 6) + 0.0 AS query_score,
+        round(s.score, 6) + 0.0 AS score, t.features, t.summary
+    FROM matches m JOIN best q ON q.author_id = m.query_id AND q.rank <= 2
+    JOIN shown s ON s.author_id = m.candidate_id AND s.cluster_label = q.cluster_label
+    LEFT JOIN texts t ON t.cluster_label = q.cluster_label""")
 def _explain_prediction_authors(t: Tables):
-    bases = explain.directions(space_centroids(t)[2])
-    docs = t.docs.select("author_id", F.col("document_id").alias("id"),
-                         F.col("embedding").alias("vector"))
-    ranks = explain.author_similarity_ranks(docs, "src0", bases)
-    return (explain.author_cluster_scores(docs, bases)
-            .join(ranks.select("author_id", "latent_rank", "interp_rank"), "author_id")
-            .select("author_id", "document_id", "cluster_label", "latent_rank", "interp_rank",
-                    r6("score", "score")))
+    _, _, centroids, weights = space(t)
+    docs = t.docs.select("author_id", F.col("document_id").alias("id"), F.col("embedding").alias("vector"))
+    rows = explain.explain_prediction_authors(docs, centroids, weights, top_c=2, candidates=BEST)
+    return rows.select("query_id", "candidate_id", "latent_rank", "interp_rank", "query_document", "candidate_document",
+                       "rank", "cluster_label", r6("query_score", "query_score"), r6("score", "score"), "features", "summary")
 
 
 @query("ranked_features", space_sql(IDF, COUNTS, WEIGHTS, BASES, SCORES, REPRESENTATIVE) + """

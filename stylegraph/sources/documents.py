@@ -110,11 +110,11 @@ def read_style_csv(spark: SparkSession, path: str, schema: T.StructType | str) -
     return spark.read.options(**CSV).schema(schema).csv(path)
 
 
-SPACE_PARTS = ("documents", "authors", "centroids", "weights")
+SPACE_PARTS = ("documents", "authors", "centroids", "weights", "summaries")
 
 
 def write_space(path: str, **parts: DataFrame) -> None:
-    """Write clustered documents, authors, centroids and weights below ``path``."""
+    """Write clustered documents, authors, centroids, weights and summaries below ``path``."""
     for name in SPACE_PARTS:
         if name in parts:
             parts[name].write.mode("overwrite").parquet(f"{path}/{name}")
