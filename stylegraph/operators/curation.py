@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,10 +11,10 @@ import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stylegraph.functions.text import token_overlap, tokens, words
-from stylegraph.operators import similarity
+from stylegraph.functions.text import token_overlap, words
+from stylegraph.operators import meetings, similarity
 from stylegraph.operators.blocks import TILE_ROWS, arrow_schema, matrix, self_product
-from stylegraph.operators.cluster import dbscan, drop_noise, labels_of, small_clusters
+from stylegraph.operators.cluster import drop_noise, labels_of, small_clusters
 from stylegraph.operators.graph import SMALL_EDGES
 from stylegraph.operators.skew import global_index, lookup_join
 from stylegraph.sources.staging import settle
@@ -71,8 +72,7 @@ def word_points(features: DataFrame) -> DataFrame:
 
 def word_difference_neighbours(features: DataFrame, eps: float) -> DataFrame:
     """How many other features differ in at most ``eps`` words: ``(idx, neighbours)``."""
-    return similarity.neighbour_counts(
-        word_points(features), eps, similarity.word_distance).withColumnRenamed("id", "idx")
+    return meetings.word_difference_counts(features, math.floor(eps))
 
 
 def word_difference_histogram(features: DataFrame) -> DataFrame:
@@ -281,7 +281,9 @@ def word_clusters(features: DataFrame, eps: float = 10.0, metric: str = "direct"
         points = settle(word_points(features), "words")
         labels = labels_of(points, profile_edges(points, eps))
     else:
-        labels = dbscan(settle(word_points(features), "words"), eps, similarity.word_distance)
+        features = settle(features.select("idx", "feature"), "features")
+        labels = labels_of(features.select(F.col("idx").alias("id")),
+                           meetings.word_difference_links(features, math.floor(eps)))
     return labels.withColumnRenamed("id", "idx")
 
 
@@ -315,30 +317,8 @@ def split_by_affinity(members: DataFrame, affinity: Affinity = token_overlap,
 
 def overlap_edges(items: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of ``items(id, text)`` whose token sets have a
-    Jaccard overlap of at least ``threshold``.
-
-    Two such sets share one of their rarest tokens, so only items meeting on a
-    rare token are compared.
-    """
-    sets = settle(items.select("id", F.array_distinct(tokens(F.lower("text"))).alias("t"))
-                  .filter(F.size("t") > 0), "token-sets")
-    long = sets.select("id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    counts = long.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
-    ranked = lookup_join(long, counts, ["token"], counted="rows")
-    rarest = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(
-        F.struct("rows", "token"))).alias("s"))
-    reach = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    prefix = rarest.select("id", "n", F.explode(F.slice("s", F.lit(1), reach)).alias("e")).select(
-        "id", "n", F.col("e.token").alias("token"))
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "token")
-    met = (prefix.withColumnRenamed("id", "a").join(other, "token")
-           .filter("a < b").filter((F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9))
-           .select("a", "b").distinct())
-    left = sets.select(F.col("id").alias("a"), F.col("t").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("t").alias("y"))
-    both = met.join(left, "a").join(right, "b")
-    share = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return both.filter(share >= threshold).select("a", "b")
+    Jaccard overlap of at least ``threshold``."""
+    return meetings.overlapping_sets(items, threshold)
 
 
 def merge_groups(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
