@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stylegraph.llm.common import groups, only, stable_hash
+from stylegraph.sources.staging import settle
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 18, 8, (2, 3, 4)
 #: Labelled rows that training may read: those with the smallest hashes of their ids.
 SAMPLE = 6_000
+#: Buckets that the bags of training texts may have together: eight bytes each reach the driver.
+ENTRIES = 16_000_000
 #: Words a worker remembers, characters scored at a time.
 REMEMBERED, GROUP = 500_000, 2_000_000
 #: Bucket of the word pairs whose two words are the same, whatever the word.
@@ -81,16 +84,15 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = 5, rate: float = 0.3, spread: float = 50.0,
+def train(made: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 5, rate: float = 0.3, spread: float = 50.0,
           seed: int = 0) -> Model:
-    """Learn vectors and softmax by stochastic gradient descent with a falling rate.
+    """Learn vectors and softmax from ``bags`` by stochastic gradient descent with a falling rate.
 
     A document spreads its gradient over a thousand vectors, so these take ``spread`` times larger steps.
     """
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1, 1, (BUCKETS + 1, DIMENSIONS)) / DIMENSIONS
     top, bias = np.zeros((DIMENSIONS, 2)), np.zeros(2)
-    made = bags(texts)
     step, steps = 0, epochs * len(made)
     for _ in range(epochs):
         for i in rng.permutation(len(made)):
@@ -146,25 +148,56 @@ class Scorer:
         return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """At most ``sample`` labelled texts whose crc32(id) mod 5 is not 0, as an Arrow table."""
+def training_bags(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> pa.Table:
+    """``(doc_id, quality, buckets, shares)`` of at most ``sample`` labelled texts whose crc32(id) mod 5 is not 0.
+
+    Those with the smallest hashes of their ids are taken, as many as have ``entries`` buckets together.
+    Whole texts stay on the executors, which make the bags; only bags travel to the driver.
+    """
     marked = (only(labels, doc_id="bigint", quality="int")
               .filter("quality in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
               .groupBy("doc_id").agg(F.max("quality").alias("quality")))
-    chosen = marked.withColumn("_h", stable_hash(F.col("doc_id"))).orderBy("_h", "doc_id").limit(sample)
-    return (only(docs, doc_id="bigint", text="string")
-            .join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id")
-            .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
-            .orderBy("doc_id").toArrow())
+    chosen = marked.withColumn("h", stable_hash(F.col("doc_id"))).orderBy("h", "doc_id").limit(sample)
+    texts = (only(docs, doc_id="bigint", text="string").join(F.broadcast(chosen), "doc_id")
+             .groupBy("doc_id").agg(*[F.min(c).alias(c) for c in ("text", "quality", "h")]))
+    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("h", pa.int64()),
+                        ("buckets", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))])
 
-
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for some in groups(batch.column("text"), GROUP):
+                made, part = bags(some), batch.slice(at, len(some))
+                ends = pa.array(np.cumsum([0] + [len(ids) for ids, _ in made], dtype=np.int32))
+                flat = [np.concatenate(column) for column in zip(*made)]
+                yield pa.RecordBatch.from_arrays([
+                    *[part.column(c) for c in ("doc_id", "quality", "h")],
+                    pa.ListArray.from_arrays(ends, pa.array(flat[0], pa.int32())),
+                    pa.ListArray.from_arrays(ends, pa.array(flat[1].astype(np.float32)))], schema=schema)
+                at += len(some)
+
+    rows = settle(texts.mapInArrow(make, "doc_id bigint, quality int, h bigint, buckets array<int>, shares array<float>"), "bags")
+    total, last = 0, None
+    for r in sorted(rows.select("h", "doc_id", F.size("buckets").alias("n")).collect()):      # at most ``sample`` rows
+        total += r.n
+        if total > entries:
+            break
+        last = r
+    if last is None:
+        return schema.empty_table().drop_columns("h")
+    fits = (F.col("h") < last.h) | (F.col("h") == last.h) & (F.col("doc_id") <= last.doc_id)
+    return rows.filter(fits).drop("h").toArrow().sort_by("doc_id")
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
     """A model of ``labels.quality``; without labels of both kinds it is neutral (score 0.5)."""
-    rows = training_rows(docs, labels, sample)
+    rows = training_bags(docs, labels, sample, entries)
     y = rows.column("quality").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(BUCKETS + 1, np.float32), 0.0)
-    return train([t or "" for t in rows.column("text").to_pylist()], y)
+    found, shares = (rows.column(c).combine_chunks() for c in ("buckets", "shares"))
+    ids, share, ends = found.flatten().to_numpy(), shares.flatten().to_numpy(), np.cumsum([0, *found.value_lengths().to_pylist()])
+    return train([(ids[a:b], share[a:b]) for a, b in zip(ends, ends[1:])], y)
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

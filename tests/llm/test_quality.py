@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 from collections import Counter
@@ -8,6 +9,7 @@ from conftest import FOLDER, ODD
 
 from stylegraph.llm.quality_rules import keep_good, quality_rules
 from stylegraph.llm.queries import QUERIES
+from stylegraph.llm import subwords
 from stylegraph.llm.subwords import fit_quality, score_quality
 from stylegraph.llm.trees import fit
 
@@ -105,5 +107,45 @@ def test_classifier_held_out(spark, docs_of):
     assert len({r.score for r in odd if r.doc_id in (1, 2, 3)}) == 1
 
 
+def plain_score(model, text):
+    """The score word by word: its bucket, those of its n-grams, and one for each repeated word."""
+    import xxhash
+    words = re.findall("[^\\x20\\x09-\\x0D]+", text or "")
+    found = [subwords.SAME] * sum(a == b for a, b in zip(words, words[1:]))
+    for w in words:
+        found.append(xxhash.xxh32_intdigest(w) % subwords.BUCKETS)
+        marked = f"<{w}>"
+        for n in subwords.GRAMS:
+            for at in range(len(marked) - n + 1):
+                h = n
+                for k in range(n):
+                    h = (h + ord(marked[at + k])) * int(subwords._factors[k]) % 2 ** 64
+                    h ^= h >> 17
+                found.append(h % subwords.BUCKETS)
+    mean = sum(float(model.weight[i]) for i in found) / len(found) if found else 0.0
+    return 1 / (1 + math.exp(-(model.bias + mean)))
+
+
+def test_scores_word_by_word(spark, docs_of):
+    rng = np.random.default_rng(7)
+    model = subwords.Model(rng.normal(size=subwords.BUCKETS + 1).astype(np.float32), 0.2)
+    rows = ODD + [(20, "very very good é😀 a", "s"), (21, "x", "s")]
+    got = {(r.doc_id, round(r.score, 9)) for r in score_quality(docs_of(rows), model).collect()}
+    assert got == {(i, round(plain_score(model, t), 9)) for i, t, _ in rows}
+
+
+def test_training_bags(spark, docs_of):
+    rows = [(i, f"word{i} and and more" if i % 7 else None, "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(1, 1, 0)], LABELS)
+    made = {r["doc_id"]: r for r in subwords.training_bags(docs_of(rows), labels).to_pylist()}
+    assert set(made) == {i for i in range(60) if zlib.crc32(str(i).encode()) % 5}
+    for i, r in made.items():
+        ids, shares = subwords.bags([rows[i][1] or ""])[0]
+        assert r["buckets"] == ids.tolist() and np.allclose(r["shares"], shares) and r["quality"] == (1 if i == 1 else i % 2)
+    assert len(subwords.training_bags(docs_of(rows), labels, sample=9)) == 9
+    few = subwords.training_bags(docs_of(rows), labels, entries=300).to_pylist()
+    assert 0 < len(few) < len(made) and sum(len(r["buckets"]) for r in few) <= 300
+
+
 if __name__ == "__main__":
     pytest.main([__file__])
