@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stylegraph.functions.vectors import dot, l2_normalize, vector_mean
 from stylegraph.operators import metrics
@@ -55,14 +55,48 @@ def mask_pairs(scores: DataFrame, assigned: DataFrame) -> DataFrame:
         "score", F.when(F.col("_in"), F.col("score")).otherwise(0.0)).drop("_in")
 
 
+def masked_score_bins(queries: DataFrame, candidates: DataFrame, matches: DataFrame, assigned: DataFrame,
+                      digits: int = metrics.DIGITS) -> DataFrame:
+    """``score_bins`` of the masked matrix: 0 where the candidate is not assigned to the query.
+
+    ``assigned(query_author, candidate_author)``. Only assigned cells are scored; all others share the
+    score 0 and are counted, so the work grows with the assigned pairs, not with the matrix.
+    """
+    q, c = (settle(author_directions(rows), name) for rows, name in ((queries, "queries"), (candidates, "candidates")))
+    keys = ["query_author", "candidate_author"]
+    hits = matches.select(*keys).distinct().withColumn("pos", F.lit(1))
+
+    def known(pairs: DataFrame) -> DataFrame:
+        for rows, key, name in ((q, "query_author", "_q"), (c, "candidate_author", "_c")):
+            side = rows.select(F.col("id").alias(key), F.col("vector").alias(name))
+            side._stylegraph_written = True         # columns of a written table
+            pairs = lookup_join(pairs, side, [key])
+        return pairs
+
+    cells = known(assigned.select(*keys).distinct()).join(hits, keys, "left")
+    score = (F.rint(dot(F.col("_q"), F.col("_c")) * 10 ** digits) / 10 ** digits + F.lit(0.0)).alias("score")
+    scored = settle(cells.select(score, F.coalesce("pos", F.lit(0)).alias("pos")).groupBy("score").agg(
+        F.sum("pos").alias("pos"), F.count(F.lit(1)).alias("n")), "bins")
+    seen = scored.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    rest = q.count() * c.count() - seen.n
+    # hits among authors that are there, but not assigned
+    missed = known(hits.select(*keys)).count() - seen.pos
+    others = scored.sparkSession.createDataFrame([(0.0, missed, rest)] if rest else [], scored.schema)
+    return scored.unionByName(others).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).select(
+        "score", "pos", (F.col("n") - F.col("pos")).alias("neg"))
+
+
 def score_bins(queries: DataFrame, candidates: DataFrame, matches: DataFrame,
-               digits: int = metrics.DIGITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+               digits: int = metrics.DIGITS, block_rows: int = BLOCK_ROWS,
+               assigned: DataFrame | None = None) -> DataFrame:
     """All cells of the query x candidate matrix as counts per score.
 
     ``matches(query_author, candidate_author)`` are the hits. Cells are scored
     block by block and only counts per rounded score leave a task, at most
-    ``2 * 10**digits + 1`` rows in the end.
+    ``2 * 10**digits + 1`` rows in the end. ``assigned`` masks the matrix.
     """
+    if assigned is not None:
+        return masked_score_bins(queries, candidates, matches, assigned, digits)
     q = settle(author_directions(queries), "queries")
     c = settle(author_directions(candidates), "candidates")
     schema = "bin bigint, n bigint"
@@ -178,9 +212,27 @@ def split_matches(matches: DataFrame, split: DataFrame) -> DataFrame:
 
 
 def attribute_and_evaluate(queries: DataFrame, candidates: DataFrame, matches: DataFrame,
-                           path: str, k: int) -> DataFrame:
-    """Write the ``k`` best candidates of every query author and return EER and AUC over all pairs."""
+                           path: str, k: int, assigned: DataFrame | None = None) -> DataFrame:
+    """Write the ``k`` best candidates of every query author and return EER and AUC over all pairs.
+
+    ``assigned(query_author, candidate_author)`` masks the scores: 0 for all other pairs. The written list then
+    holds assigned candidates only, the best ``k`` of each query.
+    """
     from stylegraph.sources.documents import write_scores
 
-    write_scores(author_pair_score(queries, candidates, k), path)
-    return attribution_eer_auc(score_bins(queries, candidates, matches))
+    if assigned is None:
+        scores = author_pair_score(queries, candidates, k)
+    else:
+        scores = assigned_scores(queries, candidates, assigned, k)
+    write_scores(scores, path)
+    return attribution_eer_auc(score_bins(queries, candidates, matches, assigned=assigned))
+
+
+def assigned_scores(queries: DataFrame, candidates: DataFrame, assigned: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best assigned candidates per query author, as ``author_pair_score`` gives them."""
+    pairs = assigned.select("query_author", "candidate_author").distinct()
+    for rows, key, name in ((queries, "query_author", "_q"), (candidates, "candidate_author", "_c")):
+        pairs = lookup_join(pairs, author_directions(rows).select(F.col("id").alias(key), F.col("vector").alias(name)), [key])
+    scored = pairs.select("query_author", "candidate_author", F.round(dot(F.col("_q"), F.col("_c")), 9).alias("score"))
+    best = Window.partitionBy("query_author").orderBy(F.col("score").desc(), "candidate_author")
+    return scored.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= k)

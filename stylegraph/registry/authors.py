@@ -71,15 +71,19 @@ def _mask_pairs(t: Tables):
         "query_author", "candidate_author", r6("score", "score"))
 
 
-_AUC = with_("docs50", extra=CELLS + """,
+def eer_auc_sql(table: str, *more: str) -> str:
+    return with_("docs50", extra=",\n".join([CELLS, *more]) + f""",
     bins AS (SELECT 0 AS k, round(score, 6) + 0.0 AS score,
         count(*) FILTER (WHERE query_author = candidate_author) AS pos,
-        count(*) FILTER (WHERE query_author <> candidate_author) AS neg FROM cells GROUP BY 2),""" + curve("k")) + """
+        count(*) FILTER (WHERE query_author <> candidate_author) AS neg FROM {table} GROUP BY 2),""" + curve("k")) + """
     SELECT round(eer, 6) AS eer, (SELECT round(sum(b.pos * (below + b.neg / 2)) / (sum(b.pos) * sum(b.neg)), 6)
     FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
     AND 1 PRECEDING), 0) AS below FROM bins) b) AS auc FROM eers"""
 
 
+_AUC = eer_auc_sql("cells")
+
+
 @query("attribution_eer_auc", _AUC)
 def _eer_auc(t: Tables):
     bins = A.score_bins(*sides(t), truth(t))
@@ -92,6 +96,27 @@ def _attribute(t: Tables):
     return A.attribute_and_evaluate(*sides(t), truth(t), path, 50).select(r6("eer", "eer"), r6("auc", "auc"))
 
 
+# pairs of authors that may be compared; every fourth author misses the right candidate
+MASKED = """masked AS (SELECT query_author, candidate_author, CASE WHEN
+        (query_author % 5 = candidate_author % 5 OR query_author % 7 = candidate_author % 3)
+        AND (query_author % 4 <> 1 OR query_author <> candidate_author) THEN score ELSE 0 END AS score FROM cells)"""
+
+
+def assigned(t: Tables):
+    authors = t.docs50.select("author_id").distinct()
+
+    def by(query: int, candidate: int):
+        return authors.select(F.col("author_id").alias("query_author"), (F.col("author_id") % query).alias("k")).join(
+            authors.select(F.col("author_id").alias("candidate_author"), (F.col("author_id") % candidate).alias("k")), "k").drop("k")
+    return by(5, 5).unionByName(by(7, 3)).filter("query_author % 4 <> 1 OR query_author <> candidate_author").distinct()
+
+
+@query("attribute_masked", eer_auc_sql("masked", MASKED))
+def _attribute_masked(t: Tables):
+    path = f"{scratch_root(t.spark)}/stylegraph/scores-{uuid.uuid4().hex}"
+    return A.attribute_and_evaluate(*sides(t), truth(t), path, 50, assigned(t)).select(r6("eer", "eer"), r6("auc", "auc"))
+
+
 @query("training_pairs", with_("docs50") + """SELECT 'query' AS kind, author_id AS query_author,
     NULL::BIGINT AS candidate_author, count(*) * (count(*) - 1) // 2 AS pairs FROM docs50 WHERE side = 0 GROUP BY 2
     UNION ALL SELECT 'candidate', NULL, author_id, count(*) * (count(*) - 1) // 2 FROM docs50 WHERE side = 1 GROUP BY 3
