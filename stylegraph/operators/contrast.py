@@ -7,6 +7,8 @@ vectors are formed here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -102,23 +104,23 @@ def gain_mmd(to_v="to_v", to_s="to_s", vs="vs", ss="ss", m="m", own="own") -> Co
     return (2 * to_v - own / m + before) / m
 
 
-def gain_ekxs() -> Column:
+def gain_ekxs(to_v="to_v", vs="vs") -> Column:
     """Gain in the selection's mean similarity to the universe."""
     m = F.col("m")
-    return (F.col("to_v") - F.when(_grown(m), F.col("vs")).otherwise(0.0)) / m
+    return (F.col(to_v) - F.when(_grown(m), F.col(vs)).otherwise(0.0)) / m
 
 
-def gain_div() -> Column:
-    """Gain in diversity: the drop of the similarity inside the selection."""
+def gain_div(to_v="to_v", vs="vs") -> Column:
+    """Gain in diversity: the drop of the similarity inside the selection; the universe plays no part."""
     m = F.col("m")
     before = F.when(_grown(m), (2 * (m - 1) / m + 1 / m) * F.col("ss")
                     - 2 * (m - 1) / m * F.col("to_s")).otherwise(0.0)
     return (-F.col("own") / m + before) / m
 
 
-def gain_kxs() -> Column:
+def gain_kxs(to_v="to_v", vs="vs") -> Column:
     """Mean similarity to the universe, whatever was selected."""
-    return F.col("to_v")
+    return F.col(to_v)
 
 
 def gain_critic(absolute: bool = True) -> Column:
@@ -230,13 +232,17 @@ def gain_logdet(items: DataFrame, selected: DataFrame, merged: DataFrame | None
     return unit.join(selected.select("id"), "id", "left_anti").mapInArrow(solve, schema)
 
 
+#: Gains that a selection's sums decide, by name: of how an item stands to a set and what was selected of it.
+CLOSED_GAINS = {"mmd": gain_mmd, "ekxs": gain_ekxs, "div": gain_div, "kxs": gain_kxs}
+
+
 def greedy_select_by_class(items: DataFrame, k: int, weight: float = 0.1,
-                           doubled_class=None) -> DataFrame:
+                           doubled_class=None, gain: str = "mmd", against: str = "mmd") -> DataFrame:
     """Per class the ``k`` items that best represent it and least the others.
 
     ``items(id, class, vector)``; each step takes, in every class, the item with
-    the largest MMD gain on the class minus ``weight`` times its MMD gain on the
-    complement. Ties go to the smaller id; a class with fewer items ends early.
+    the largest ``gain`` on the class minus ``weight`` times its gain ``against`` the
+    complement, both among ``CLOSED_GAINS``. Ties go to the smaller id; a class with fewer items ends early.
     ``doubled_class`` counts one class twice in the complement of the others, as
     well as in its own. Returns ``(class, step, id, gain)``.
     """
@@ -246,8 +252,8 @@ def greedy_select_by_class(items: DataFrame, k: int, weight: float = 0.1,
                                             F.count(F.lit(1)).alias("n")), "class-sums")
     everything = sums if doubled_class is None else sums.unionByName(
         sums.filter(F.col("class") == doubled_class))
-    total = everything.agg(vector_sum(F.col("s")).alias("s"), F.sum("n").alias("n")).first()
-    whole, count = F.lit([float(x) for x in total["s"]]), F.lit(int(total["n"]))
+    every = everything.agg(vector_sum(F.col("s")).alias("s"), F.sum("n").alias("n")).first()
+    whole, count = F.lit([float(x) for x in every["s"]]), F.lit(int(every["n"]))
     others = F.zip_with(whole, F.col("s"), lambda t, s: t - s)
     means = sums.select(
         "class", "n", F.transform("s", lambda x: x / F.col("n")).alias("mean"),
@@ -264,10 +270,12 @@ def greedy_select_by_class(items: DataFrame, k: int, weight: float = 0.1,
         rows = (settle(state, "greedy").withColumn("m", m)
                 .withColumn("to_s", F.col("dots") / seen).withColumn("ss", F.col("inner") / (seen * seen))
                 .withColumn("vs", F.col("sum_v") / seen).withColumn("cs", F.col("sum_c") / seen))
-        gain = gain_mmd() - weight * gain_mmd(to_v="to_c", vs="cs")
+        total = CLOSED_GAINS[gain]()
+        if weight:
+            total = total - weight * CLOSED_GAINS[against](to_v="to_c", vs="cs")
         kept = ["id", "vector", "to_v", "to_c", "own", "dots", "sum_v", "sum_c", "inner"]
         best = rows.groupBy("class").agg(F.min(F.struct(
-            (-F.round(gain, 12)).alias("loss"), *kept)).alias("b"))
+            (-F.round(total, 12)).alias("loss"), *kept)).alias("b"))
         best = settle(best, "picks")
         here = best.select("class", F.lit(step).cast("bigint").alias("step"), "b.id",
                            (-F.col("b.loss")).alias("gain"))
@@ -287,9 +295,76 @@ def greedy_select_by_class(items: DataFrame, k: int, weight: float = 0.1,
     return chosen
 
 
-def greedy_select(items: DataFrame, k: int) -> DataFrame:
-    """The ``k`` items whose mean comes closest to the mean of all, one by one."""
-    return greedy_select_by_class(items.withColumn("class", F.lit(0)), k, 0.0).drop("class")
+def greedy_select(items: DataFrame, k: int, gain: str = "mmd", universe: DataFrame | None = None,
+                  ridge: float = 0.0, batch: int = 256) -> DataFrame:
+    """The ``k`` items of the largest gains, one by one: ``(step, id, gain)``.
+
+    ``items(id, vector)``; ``gain`` is one of ``CLOSED_GAINS`` with all items as the universe, ``nn``
+    (nearest neighbours of ``universe``, all items by default) or ``logdet`` (variance that
+    the selection leaves). Ties go to the smaller id; ``batch`` is that of ``lazy_greedy``.
+    """
+    if gain in CLOSED_GAINS:
+        return greedy_select_by_class(items.withColumn("class", F.lit(0)), k, 0.0, gain=gain).drop("class")
+    items = settle(items.select("id", "vector"), "items")
+    if gain == "nn":
+        covered = items if universe is None else settle(universe.select("id", "vector"), "universe")
+        # the first pick starts the coverage, so bounds begin with the second
+        return lazy_greedy(items, k, lambda rows, selected: gain_nn(rows, covered, selected), batch, whole_steps=2)
+    if gain == "logdet":
+        return lazy_greedy(items, k, lambda rows, selected: gain_logdet(rows, selected, ridge=ridge), batch)
+    raise ValueError(f"unknown gain {gain}")
+
+
+def lazy_greedy(items: DataFrame, k: int, evaluate: Callable[[DataFrame, DataFrame], DataFrame],
+                batch: int = 256, whole_steps: int = 1, digits: int = 12) -> DataFrame:
+    """Greedy selection by gains that only fall as the selection grows: ``(step, id, gain)``.
+
+    ``evaluate(rows, selected)`` gives ``(id, gain)`` of the rows that are not selected; ``rows``
+    hold the selected ones too. A gain found before is an upper bound of what it is now. So a step
+    evaluates anew the ``batch`` items of the largest bounds, and goes on only while
+    an item not yet evaluated might still win. The first ``whole_steps`` steps evaluate all items, and
+    from the last of them on gains must fall; later ones read few.
+    """
+    spark, kind = items.sparkSession, items.schema["id"].dataType.simpleString()
+
+    def among(ids: list) -> DataFrame:
+        named = spark.createDataFrame([(i,) for i in ids], f"id {kind}")
+        return items.join(F.broadcast(named), "id", "left_semi")    # as many as a batch and a selection
+
+    def chosen_ids() -> DataFrame:
+        return spark.createDataFrame([(i,) for _, i, _ in chosen], f"id {kind}")
+
+    chosen: list[tuple] = []
+    renewed: dict = {}                  # id -> bound, of items evaluated again
+
+    def best_bounds(n: int) -> list[tuple]:
+        taken = {i for _, i, _ in chosen}
+        fresh = first.orderBy("loss", "id").limit(n + len(renewed) + len(taken)).collect()
+        rest = [(r.loss, r.id) for r in fresh if r.id not in renewed and r.id not in taken][:n + 1]
+        return sorted(rest + [(loss, i) for i, loss in renewed.items() if i not in taken])
+
+    for step in range(1, k + 1):
+        now: dict = {}                  # evaluated against the selection as it stands
+        if step <= whole_steps:
+            loss = (-F.round("gain", digits) + F.lit(0.0)).alias("loss")
+            first = settle(evaluate(items, chosen_ids()).select("id", loss), "bounds")
+        while True:
+            bounds = best_bounds(batch + 1)
+            stale = [b for b in bounds if b[1] not in now]
+            best = min(((loss, i) for i, loss in now.items()), default=None)
+            if not stale or (best is not None and best < stale[0]):
+                break
+            if step <= whole_steps:
+                now = dict([stale[0][::-1]])     # these gains are exact
+                continue
+            asked = [i for _, i in stale[:batch]]
+            found = evaluate(among(asked + [i for _, i, _ in chosen]), chosen_ids()).collect()
+            now.update({r["id"]: -round(r["gain"], digits) + 0.0 for r in found})
+            renewed.update(now)
+        if best is None:
+            break
+        chosen.append((step, best[1], -best[0]))
+    return spark.createDataFrame(chosen, f"step bigint, id {kind}, gain double")
 
 
 def class_complement(items: DataFrame, members: DataFrame) -> DataFrame:

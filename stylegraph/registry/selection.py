@@ -126,12 +126,13 @@ def _seeds(t: Tables):
     return K.farthest_first_seeds(items(t), 5, 0)
 
 
-def greedy_sql(k: int, group: str, weight: float) -> str:
+def greedy_sql(k: int, group: str, weight: float, kind: str = "mmd") -> str:
     """The first ``k`` greedy picks per group, one step after the other."""
     def gain(mean: str, back: str, m: int) -> str:
-        grown = (f"- 2 * {back} + {2 * (m - 1) / m + 1 / m} * ss - {2 * (m - 1) / m} * ts"
-                 if m > 1 else "")
-        return f"(2 * {mean} - own / {m} {grown}) / {m}"
+        inside = f"+ {2 * (m - 1) / m + 1 / m} * ss - {2 * (m - 1) / m} * ts" if m > 1 else ""
+        past = f"- {back}" if m > 1 else ""
+        return {"mmd": f"(2 * {mean} - own / {m} {past} {past} {inside}) / {m}", "ekxs": f"({mean} {past}) / {m}",
+                "div": f"(-own / {m} {inside}) / {m}", "kxs": mean}[kind]
 
     parts = [UNIT, f"""w AS (SELECT id, {group} AS class, v FROM u),
     d AS (SELECT a.class, a.id AS i, b.id AS j, list_dot_product(a.v, b.v) AS k FROM w a JOIN w b ON b.class = a.class),
@@ -169,6 +170,48 @@ def _greedy_all(t: Tables):
     return K.greedy_select(items(t), 3).select("step", "id", r6("gain", "gain"))
 
 
+def greedy_query(kind: str, sql: str):
+    @query(f"greedy_{kind}", sql)
+    def run(t: Tables):
+        return K.greedy_select(items(t), 3, kind, batch=64).select("step", "id", r6("gain", "gain"))
+
+
+for _kind in ("ekxs", "div", "kxs"):
+    greedy_query(_kind, "SELECT step, id, gain FROM (" + greedy_sql(3, "0", 0.0, _kind) + ")")
+
+_KERNEL = UNIT + """,
+    d AS MATERIALIZED (SELECT a.id AS i, b.id AS j, list_dot_product(a.v, b.v) AS k FROM u a, u b)"""
+_PICK = """pick{n} AS (SELECT {n}::BIGINT AS step, arg_min(id, (-round(gain, 12), id)) AS id, max(round(gain, 12)) AS gain
+        FROM g{n} WHERE {free})"""
+
+
+def _steps(gains: list[str]) -> str:
+    parts = [_KERNEL]
+    for n, gain in enumerate(gains, 1):
+        free = " AND ".join(f"id <> (SELECT id FROM pick{m})" for m in range(1, n)) or "true"
+        parts += [gain, _PICK.format(n=n, free=free)]
+    picked = " UNION ALL ".join(f"SELECT * FROM pick{n}" for n in range(1, len(gains) + 1))
+    return with_("docs50", extra=",\n".join(parts)) + f"SELECT step, id, round(gain, 6) + 0.0 AS gain FROM ({picked})"
+
+
+# what the selection leaves of an item's variance, one column of the Cholesky factor per pick
+greedy_query("logdet", _steps([
+    "g1 AS (SELECT i AS id, ln(k) AS gain FROM d WHERE i = j)",
+    """e1 AS (SELECT i, k / sqrt((SELECT k FROM d WHERE i = j AND i = (SELECT id FROM pick1))) AS e FROM d WHERE j = (SELECT id FROM pick1)),
+    v2 AS (SELECT d.i, d.k - e.e * e.e AS v FROM d JOIN e1 e ON e.i = d.i WHERE d.i = d.j),
+    g2 AS (SELECT i AS id, ln(greatest(abs(v), 1e-12)) AS gain FROM v2)""",
+    """e2 AS (SELECT d.i, (d.k - e.e * (SELECT e FROM e1 WHERE i = (SELECT id FROM pick2)))
+        / sqrt((SELECT v FROM v2 WHERE i = (SELECT id FROM pick2))) AS e FROM d JOIN e1 e ON e.i = d.i WHERE d.j = (SELECT id FROM pick2)),
+    g3 AS (SELECT v.i AS id, ln(greatest(abs(v.v - e.e * e.e), 1e-12)) AS gain FROM v2 v JOIN e2 e ON e.i = v.i)"""]))
+# how much an item raises the best similarity of each row to the selection
+greedy_query("nn", _steps([
+    "g1 AS (SELECT i AS id, sum(k) AS gain FROM d GROUP BY i)",
+    """h1 AS (SELECT i, k AS h FROM d WHERE j = (SELECT id FROM pick1)),
+    g2 AS (SELECT d.i AS id, sum(greatest(d.k - h.h, 0)) AS gain FROM d JOIN h1 h ON h.i = d.j GROUP BY 1)""",
+    """h2 AS (SELECT d.i, greatest(d.k, h.h) AS h FROM d JOIN h1 h ON h.i = d.i WHERE d.j = (SELECT id FROM pick2)),
+    g3 AS (SELECT d.i AS id, sum(greatest(d.k - h.h, 0)) AS gain FROM d JOIN h2 h ON h.i = d.j GROUP BY 1)"""]))
+
+
 @query("contrastive_representation")
 def _contrastive(t: Tables):
     features = tfidf.cluster_feature_set(t.assignments, clustered_docs(t))
