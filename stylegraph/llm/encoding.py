@@ -11,13 +11,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Characters encoded at a time, and parts remembered by a worker.
-GROUP, REMEMBERED = 1_000_000, 400_000
+GROUP, REMEMBERED = 1_000_000, 800_000
 
 _letters = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Outside these characters the classes of two pattern libraries might differ.
@@ -44,8 +46,11 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        rows = [array("I", e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for row in rows:
+                row.byteswap()
+        return [row.tobytes() for row in rows]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian uint32."""
@@ -58,10 +63,10 @@ class Encoder:
         if len(known) > REMEMBERED:
             known.clear()
         parts = {i: _parts(t) for i, t in enumerate(texts) if out[i] is None}
-        missing = list({p for found in parts.values() for p in found if p not in known})
+        missing = list(set().union(*parts.values()).difference(known))
         known.update(zip(missing, self.raw(missing)))
         for i, found in parts.items():
-            out[i] = b"".join([known[p] for p in found])
+            out[i] = b"".join(map(known.__getitem__, found))
         return out
 
 
