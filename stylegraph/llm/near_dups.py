@@ -1,8 +1,9 @@
 """Near-duplicate documents by circulant MinHash, banding and exact verification.
 
-Two permutations of a universe make all coordinates of a signature: the first
+Two permutations of the 32-bit numbers make all coordinates of a signature: the first
 scatters the hashed shingles, the second, shifted circularly by k, is
-minimised for coordinate k. Documents that agree in all rows of a band meet in a
+minimised for coordinate k. Both are computed, not stored, so that the universe is far larger than
+the longest text and unrelated long texts share no coordinates. Documents that agree in all rows of a band meet in a
 bucket. Only connectivity is asked for, so a bucket is first compared with single
 leaders, round by round; only what then still lies in different components
 is compared pair by pair, in bounded blocks. The share of equal coordinates rules out
@@ -23,8 +24,8 @@ from stylegraph.operators.graph import connected_components
 from stylegraph.operators.skew import lookup_join
 from stylegraph.sources.staging import settle
 
-#: Size of the universe that is permuted, and seed of the permutations.
-UNIVERSE, SEED = 1 << 17, 20240901
+#: Odd multipliers of the two permutations; shingles signed in one go, so that they stay in a core's cache.
+FIRST, SECOND, CACHED = 0x9E3779B1, 0x85EBCA6B, 16_384
 #: Sets compared with a leader by one task; sets, and sketches, of one side of a block.
 CHUNK, BLOCK, SKETCH_BLOCK = 128, 64, 512
 #: Standard errors below the threshold at which the share of equal coordinates rules a pair out.
@@ -74,29 +75,48 @@ class Shingler:
 
 
 class Signer:
-    """Signatures of sets: ``bands * rows`` coordinates, hashed band by band, and a byte of each as a sketch."""
+    """Signatures of sets: ``bands * rows`` coordinates, hashed band by band, and a byte of each as a sketch.
+
+    The first permutation is ``x * FIRST``, the second folds the upper half of a number into the
+    lower one and multiplies by ``SECOND``, all modulo 2^32. The shift runs on the circle of products:
+    coordinate k minimises the second permutation at ``(x + k) * FIRST``.
+    """
 
     def __init__(self, bands: int, rows: int):
-        random = np.random.default_rng(SEED)
         self.bands, self.rows = bands, rows
-        self.scatter = random.permutation(UNIVERSE).astype(np.int32)
-        second = random.permutation(UNIVERSE).astype(np.int32)
-        self.second = np.concatenate([second, second[:bands * rows]])     # shifts without a modulus
+
+    def lowest(self, sets: list[np.ndarray]) -> np.ndarray:
+        """The coordinates of each of the non-empty ``sets``."""
+        at = np.concatenate(sets)
+        at = (at ^ (at >> np.uint64(32))).astype(np.uint32) * np.uint32(FIRST)
+        starts = np.cumsum([0, *map(len, sets)])[:-1]
+        out = np.empty((len(sets), self.bands * self.rows), np.uint32)
+        moved, upper = np.empty_like(at), np.empty_like(at)
+        for k in range(out.shape[1]):
+            np.add(at, np.uint32(k * FIRST & 0xFFFFFFFF), out=moved)
+            np.right_shift(moved, np.uint32(16), out=upper)
+            np.bitwise_xor(moved, upper, out=moved)
+            np.multiply(moved, np.uint32(SECOND), out=moved)
+            out[:, k] = np.minimum.reduceat(moved, starts)
+        return out
 
     def __call__(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """One row of band hashes and one of bytes per non-empty set."""
-        starts = np.cumsum([0, *map(len, sets)])[:-1]
-        at = self.scatter[(np.concatenate(sets) & np.uint64(UNIVERSE - 1)).astype(np.int64)]
+        done, ends = [], np.cumsum([*map(len, sets)])
+        first = 0
+        while first < len(sets):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + CACHED, "right")))
+            done.append(self.lowest(sets[first:last]))
+            first = last
+        lowest = np.concatenate(done)
         out = np.empty((len(sets), self.bands), np.uint64)
-        sketch = np.empty((len(sets), self.bands * self.rows), np.uint8)
         for band in range(self.bands):
             key = np.full(len(sets), band, np.uint64)
             for k in range(band * self.rows, (band + 1) * self.rows):
-                lowest = np.minimum.reduceat(self.second[k:].take(at), starts)
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + lowest.astype(np.uint64))
-                sketch[:, k] = lowest & 255
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + lowest[:, k].astype(np.uint64))
             out[:, band] = key
-        return out.view(np.int64), sketch
+        return out.view(np.int64), (lowest & 255).astype(np.uint8)
 
 
 def least_equal(percent: int, coordinates: int) -> int:
@@ -323,6 +343,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     node. Ids may repeat; a null id never names a component, and a component
     without ids has a null ``component_id`` and keeps its rows. No rows give no rows.
 
+    A very long text is one set like any other, held whole by the task that signs it.
+
     With 50 bands of 6 rows a pair at similarity 0.8 meets in some bucket but for
     3e-7; below, chances fall (0.5: 0.54, 0.2: 0.003), so that buckets do not fill up with
     unrelated texts as a table grows. Equal coordinates rule it out with less than 1e-6. Shingles and sets are
@@ -350,7 +372,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     for turn in range(LEADER_ROUNDS + 1):
         last = False
         if turn:
-            joined = lookup_join(buckets, found.withColumnRenamed("component", "_c"), ["node"], "left")
+            # a bucket inside one component stays so: only the open ones go on
+            joined = lookup_join(open_.drop("component"), found.withColumnRenamed("component", "_c"), ["node"], "left")
             joined = joined.select("key", "node", "n", F.coalesce("_c", "node").alias("component"))
             mixed = settle(joined.groupBy("key").agg(
                 F.min("component").alias("_a"), F.max("component").alias("_b"),

@@ -103,3 +103,24 @@ def test_signature_estimates_similarity():
     (x, y), (u, v) = signer([a, b])
     assert abs((x == y).mean() - 900 / 1500) < 0.12 and ((u == v) >= (x == y)).all()
     assert len(Shingler(5)("one two")) == 1 and len(Shingler(5)("a b c d e f")) == 2
+
+
+def test_unrelated_long_texts_share_nothing():
+    rng = np.random.default_rng(1)
+    one, two = (np.unique(rng.integers(0, 1 << 63, 300_000).astype(np.uint64)) for _ in range(2))
+    (keys, sketches) = Signer(50, 6)([one, two, one[:10], one])
+    assert (sketches[0] == sketches[1]).sum() < 10 and not (keys[0] == keys[1]).any()
+    assert (sketches[0] == sketches[3]).all() and (keys[0] == keys[3]).all()
+    alone = Signer(50, 6)([one[:10]])
+    assert (alone[0][0] == keys[2]).all() and (alone[1][0] == sketches[2]).all()
+
+
+@pytest.mark.parametrize("n", [10, 40, 300])
+def test_coordinates_spread_like_independent_ones(n):
+    """Share of equal coordinates at similarity 0.8: mean and spread as with 300 independent ones."""
+    rng, shares = np.random.default_rng(n), []
+    for _ in range(200):
+        items, cut = rng.integers(0, 1 << 63, n).astype(np.uint64), n // 10
+        a, b = Signer(50, 6).lowest([np.sort(items[cut:]), np.sort(items[:n - cut])])
+        shares.append((a == b).mean())
+    assert abs(np.mean(shares) - 0.8) < 0.006 and abs(np.std(shares) - 0.0231) < 0.006
