@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stylegraph.functions import text as X
 from stylegraph.operators import tfidf
 from stylegraph.registry.base import Tables, query, r6, with_
+from stylegraph.sources.tables import spread
 
 TOKENS = r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'"
 
@@ -60,7 +61,7 @@ def answers(t: Tables):
     """A level answer per part; some lack an introduction or a level."""
     intro = F.when(F.col("p_size") % 2 == 0, "Here are the levels:\n\n").otherwise("")
     odd = F.when(F.col("p_size") % 3 == 0, "Syntactic Level:").otherwise("Tonal Level:")
-    return t.part.select("p_partkey", F.concat(
+    return spread(t.part).select("p_partkey", F.concat(
         intro, F.lit("**Morphological Level:**\n\n- "), "p_name", F.lit("\n* "), "p_type",
         F.lit("\n\n"), odd, F.lit("\n\n- **"), "p_brand", F.lit("**\n\nDiscourse Level\n\n"),
         "p_name").alias("answer"))
