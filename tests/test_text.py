@@ -119,3 +119,14 @@ def test_stream_answers_each_request_once(spark, tmp_path):
         answer_stream(stream, out, str(tmp_path / "cp"), lambda i, x: x * 2).awaitTermination(120)
     got = sorted((r["input"], r["generations"]) for r in spark.read.parquet(out).collect())
     assert got == [("a", "aa"), ("b", "bb"), ("c", "cc")]
+
+
+def test_levels_do_not_grow_with_their_uses(spark):
+    # each step of the answer is bound once; it was written out again for every level and list
+    from pyspark.sql import functions as F
+    from stylegraph.registry.base import text_vector
+    plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(
+        X.extract_levels(F.col("t")).alias("l"), text_vector(F.col("t")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(t") == 1
+    vector = spark.range(1).select(text_vector(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert vector.index("md5") < vector.rindex("lambdafunction") and "substr(concat(md5" not in vector.lower()
