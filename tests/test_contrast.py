@@ -51,3 +51,19 @@ def test_few_items_and_unknown_gains(spark):
     assert K.greedy_select(frame, 5, "ekxs").count() == 2
     with pytest.raises(ValueError):
         K.greedy_select(frame, 1, "other")
+
+
+def test_equal_bounds_take_few_passes(spark):
+    # every gain falls by the same amount, so any item might win: one batch at a time would take 150 passes
+    from pyspark.sql import functions as F
+    frame = spark.range(300).select("id", F.array(F.lit(1.0)).alias("vector"))
+    calls = []
+
+    def evaluate(rows, selected):
+        chosen = [r.id for r in selected.collect()]
+        calls.append(len(chosen))
+        return rows.filter(~F.col("id").isin(chosen)).select("id", (5.0 - len(chosen) - F.col("id") * 1e-6).alias("gain"))
+
+    got = K.lazy_greedy(frame, 2, evaluate, batch=2).orderBy("step").collect()
+    assert [(r.id, round(r.gain, 6)) for r in got] == [(0, 5.0), (1, 3.999999)]
+    assert len(calls) <= 4
