@@ -15,8 +15,8 @@ def sweep_performance(docs: DataFrame, grid: list[float],
 
     ``docs(author_id, document_id, embedding)``; ``test`` defaults to the same
     documents. One row ``(eps, eer, ap, ndcg, mean_sim, bases)`` per threshold.
-    The distances are computed once for all thresholds, documents are projected on the
-    centroids of all thresholds at once, and one job ranks them in every space.
+    The distances are computed once for all thresholds, documents are projected on narrow
+    bases of all thresholds at once, and one job ranks them in every space.
     """
     means = settle(cluster.author_means(docs), "means")
     points = cluster.unit_points(means, "author_id")
@@ -26,10 +26,11 @@ def sweep_performance(docs: DataFrame, grid: list[float],
     tested = settle((test if test is not None else docs).select(
         F.col("document_id").alias("id"), "author_id",
         F.col("embedding").cast("array<double>").alias("vector")), "tested")
-    # the place of the threshold above, the cluster (noise is -1) below: in order of threshold and label
+    # the place of the threshold above, the place of the basis below: in order of both
     steps = F.array(*[F.lit(float(e)) for e in grid])
-    code = F.shiftleft(F.array_position(steps, F.col("eps")), 40) + F.col("cluster_label") + 1
-    bases = centroids.select(code.alias("id"), F.col("centroid").alias("vector"))
+    narrow = explain.narrow_bases(centroids.select(
+        F.array_position(steps, F.col("eps")).alias("space"), F.col("cluster_label").alias("id"), F.col("centroid").alias("vector")))
+    bases = narrow.select((F.shiftleft("space", 40) + F.col("id")).alias("id"), "vector")
     inner = explain.interpretable_vectors(tested.select("id", "vector"), bases)
     cells = F.filter(F.arrays_zip("labels", "scores"), lambda c: F.shiftright(c["labels"], 40) == F.col("place"))
     inner = inner.select("id", F.explode(F.sequence(F.lit(1), F.lit(len(grid)))).alias("place"), "labels", "scores").select(

@@ -118,3 +118,29 @@ def test_best_eps_takes_the_smallest_tuple(spark):
     df = spark.createDataFrame([(0.3, 0.1, 0.2, 0.5, 0.1), (0.2, 0.1, 0.2, 0.5, 0.1), (0.1, 0.2, 0.0, 0.0, 0.0)],
                                "eps double, eer double, ap double, ndcg double, mean_sim double")
     assert sweep.best_eps(df).first()["eps"] == 0.2
+
+
+def test_narrow_bases_keep_the_products(spark):
+    # 9 000 bases of 6 numbers are three parts of a factor; vectors of 9 000 scores went to every tile before
+    import numpy as np
+    from stylegraph.plans import explain
+    rng = np.random.default_rng(3)
+    bases, docs = rng.normal(size=(9000, 6)) + 0.3, rng.normal(size=(40, 6))
+    rows = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(bases)]
+                                 + [(1, i, v.tolist()) for i, v in enumerate(bases[:3])], "space int, id bigint, vector array<double>")
+    found = explain.narrow_bases(rows).collect()
+    for space, whole, n in ((0, bases, 6), (1, bases[:3], 3)):
+        narrow = np.array([r.vector for r in found if r.space == space])
+        assert narrow.shape == (n, 6)
+        assert np.allclose(docs @ narrow.T @ narrow @ docs.T, docs @ whole.T @ whole @ docs.T, rtol=1e-11)
+
+
+def test_candidates_are_not_copied_for_each_tile(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(s, i, i // 4, rng.normal(size=3).tolist()) for s in (0.5, 0.7) for i in range(60)],
+                                 "space double, id bigint, author_id bigint, vector array<double>")
+    ranked = metrics.leave_one_out(docs, tile_bytes=9 * 60)
+    assert "Explode" not in ranked._jdf.queryExecution().analyzed().toString() and "explode" not in ranked._jdf.queryExecution().analyzed().toString()
+    assert ranked.agg(F.count_if((F.col("hits") == 3) & (F.col("misses") == 56))).first()[0] == 120
