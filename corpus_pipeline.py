@@ -42,8 +42,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequences and offsets."""
-    return pack_documents(docs, tokenizer("byte_bpe_50k.json"), 1024, 2)
+    """Token pieces with their sequences and offsets.
+
+    The executors still hold the memory of the stages before, so workers remember fewer parts of texts.
+    """
+    return pack_documents(docs, tokenizer("byte_bpe_50k.json"), 1024, 2, remembered=100_000)
 
 
 STAGES = [

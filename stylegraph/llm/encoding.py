@@ -52,15 +52,15 @@ class Encoder:
                 row.byteswap()
         return [row.tobytes() for row in rows]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian uint32."""
+    def __call__(self, texts: list[str], remembered: int = REMEMBERED) -> list[bytes]:
+        """Ids of whole texts as little-endian uint32; beyond ``remembered`` parts the known ones are dropped."""
         out: list[bytes | None] = [None] * len(texts)
         whole = [i for i, t in enumerate(texts)
                  if not self.by_parts or _beyond(t) or any(s in t for s in self.special)]
         for i, ids in zip(whole, self.raw([texts[i] for i in whole])):
             out[i] = ids
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > remembered:
             known.clear()
         parts = {i: _parts(t) for i, t in enumerate(texts) if out[i] is None}
         missing = list(set().union(*parts.values()).difference(known))
@@ -80,12 +80,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(column: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
+def encoded(column: pa.Array, path: str, end_id: int, remembered: int = REMEMBERED) -> Iterator[np.ndarray]:
     """Ids of each text (null as empty) with ``end_id`` behind, as little-endian uint32."""
     end = np.array([end_id], "<u4").tobytes()
 
     def flush(texts: list[str]) -> Iterator[np.ndarray]:
-        for ids in encoder(path)(texts):
+        for ids in encoder(path)(texts, remembered):
             yield np.frombuffer(ids + end, "<u4")
 
     texts, size = [], 0

@@ -16,17 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stylegraph.llm.common import hashed_rank, only
-from stylegraph.llm.encoding import encoded
+from stylegraph.llm.encoding import REMEMBERED, encoded
 from stylegraph.sources.staging import settle
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2,
+           remembered: int = REMEMBERED) -> DataFrame:
     """Token pieces of whole texts: ``doc_id, piece, start, length, ids``.
 
     ``end_id`` closes each document. Only documents longer than ``capacity`` are cut; all
     their pieces are full but the first. ``ids`` are little-endian uint32. A null
     text is empty and gives one piece with the end id; null and repeated ids are
-    carried along; no rows give no rows.
+    carried along; no rows give no rows. A worker keeps the ids of ``remembered`` parts of texts.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                         ("length", pa.int64()), ("ids", pa.binary())])
@@ -35,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(),
-                                   encoded(batch.column("text"), tokenizer_path, end_id)):
+                                   encoded(batch.column("text"), tokenizer_path, end_id, remembered)):
                 first = (len(ids) - 1) % capacity + 1
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 rows.extend((doc_id, k, a, b - a, ids[a:b].tobytes())
@@ -218,7 +219,8 @@ def pack(rows: DataFrame, capacity: int = 1024, keys: tuple[str, ...] = ("doc_id
     return ranked.select(*kept, "_rank").mapInArrow(place, f"{head}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2,
+                   remembered: int = REMEMBERED) -> DataFrame:
     """Packed pieces with their checksum ``ids_crc32`` in place of the ids."""
-    cut = pieces(docs, tokenizer_path, capacity, end_id)
+    cut = pieces(docs, tokenizer_path, capacity, end_id, remembered)
     return pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity)

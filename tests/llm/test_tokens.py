@@ -165,3 +165,17 @@ def test_queries_run(spark):
     n = spark.read.parquet(f"{FOLDER}/documents.parquet").count()
     for name in ("op6_prefix_token_counts", "op7_token_files"):
         assert QUERIES[name](spark, FOLDER).count() == n
+
+
+def test_workers_remember_as_few_parts_as_asked():
+    # the limit was one for all queries, so the last stage of the pipeline took as much as packing alone
+    from stylegraph.llm.encoding import encoder
+    texts = [" ".join(f"w{k}x{i}" for i in range(50)) for k in range(40)]
+    own = encoder(BYTES)
+    want = [own.raw([t])[0] for t in texts]
+    own.known.clear()
+    got = []
+    for text in texts:
+        got += own([text], remembered=100)
+        assert len(own.known) <= 100 + 160
+    assert got == want
