@@ -42,6 +42,19 @@ def test_merge_rounds(spark, small):
     assert got == brute_merge(edges, range(14))
 
 
+def test_merge_rounds_of_a_dense_group(spark, monkeypatch):
+    """Claims that wait for each other cost no round of their own, and both paths agree."""
+    rng = np.random.default_rng(7)
+    edges = set(itertools.combinations(range(40), 2)) | {(100 + i, 101 + i) for i in range(30)} | {
+        (200 + a, 200 + b) for a, b in itertools.combinations(range(30), 2) if rng.random() < 0.2}
+    df = spark.createDataFrame(sorted(edges), "a bigint, b bigint")
+    want = {r["group_idx"]: r["root"] for r in C.merge_groups(df).collect()}
+    written, write = [], C.settle
+    monkeypatch.setattr(C, "settle", lambda df, label="table": written.append(label) or write(df, label))
+    assert {r["group_idx"]: r["root"] for r in C.merge_groups(df, 0).collect()} == want
+    assert len(written) <= 2 + 3 * 8
+
+
 def jaccard(a, b):
     x, y = set(a.lower().split()), set(b.lower().split())
     return len(x & y) / len(x | y)
