@@ -42,6 +42,21 @@ def test_merge_rounds(spark, small):
     assert got == brute_merge(edges, range(14))
 
 
+def test_differences_of_unlike_lengths(spark, monkeypatch):
+    """Short features do not travel as long as the longest one, and all pairs are counted."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(list("abc"), n)) for n in [*rng.integers(0, 9, 60), 300, 600]]
+    df = spark.createDataFrame(list(enumerate(texts)), "idx bigint, feature string")
+    want = {}
+    for x, y in itertools.combinations(texts, 2):
+        want[word_diff(x, y)] = want.get(word_diff(x, y), 0) + 1
+    widths, write = [], C.settle
+    monkeypatch.setattr(C, "settle", lambda df, label="table": widths.extend(df.selectExpr("size(vector) AS n").collect()) or write(df, label))
+    monkeypatch.setattr(C, "TILE_ROWS", 16)
+    assert {r["difference"]: r["pairs"] for r in C.word_difference_histogram(df).collect()} == want
+    assert sorted(r["n"] for r in widths) == sorted(len(t.split()) for t in texts)
+
+
 def test_merge_rounds_of_a_dense_group(spark, monkeypatch):
     """Claims that wait for each other cost no round of their own, and both paths agree."""
     rng = np.random.default_rng(7)
