@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stylegraph.llm.common import only
 from stylegraph.operators.graph import connected_components
@@ -32,8 +32,10 @@ CHUNK, BLOCK, SKETCH_BLOCK = 128, 64, 512
 ERRORS = 5.5
 #: Rounds of leaders before blocks, and ids that are broadcast at most (about 64 MB).
 LEADER_ROUNDS, BROADCAST_IDS = 3, 2_000_000
+#: Coordinates of a sketch that rule most pairs out before whole sketches travel.
+BRIEF = 64
 #: Words a worker remembers; shingles signed at a time.
-REMEMBERED, SIGNED = 500_000, 250_000
+REMEMBERED, SIGNED = 100_000, 250_000
 _mask = np.uint64((1 << 64) - 1)
 
 
@@ -225,10 +227,10 @@ def sketches_of(table: pa.Table, column: str = "sketch") -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), np.uint8).reshape(table.num_rows, -1)
 
 
-def likely_pairs(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """The ``pairs(leader, node)`` with at least ``least`` equal coordinates."""
-    sketch = nodes.select("node", "sketch")
-    both = pairs.join(sketch, "node").join(sketch.select(
+def equal_pairs(pairs: DataFrame, nodes: DataFrame, sketch: Column, least: int) -> DataFrame:
+    """The ``pairs(leader, node)`` with at least ``least`` equal bytes in ``sketch``, a column of ``nodes``."""
+    sketches = nodes.select("node", sketch.alias("sketch"))
+    both = pairs.join(sketches, "node").join(sketches.select(
         F.col("node").alias("leader"), F.col("sketch").alias("other")), "leader").select(
         "leader", "node", "sketch", "other")
 
@@ -242,6 +244,16 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     return both.mapInArrow(run, "leader bigint, node bigint")
 
 
+def likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int, coordinates: int) -> DataFrame:
+    """The ``pairs(leader, node)`` with as many equal coordinates as a pair at the threshold has.
+
+    Most pairs of unrelated texts go by the first ``BRIEF`` coordinates, so whole sketches travel for few.
+    """
+    if coordinates > BRIEF:
+        pairs = equal_pairs(pairs, nodes, F.substring("sketch", 1, BRIEF), least_equal(percent, BRIEF))
+    return equal_pairs(pairs, nodes, F.col("sketch"), least_equal(percent, coordinates))
+
+
 def block_tasks(members: DataFrame, block: int) -> DataFrame:
     """Deals each bucket of ``members(key, node, n, component)`` into tasks ``(key, i, j)``.
 
@@ -386,7 +398,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         if last:
             new = verify_blocks(settle(likely_members(open_, nodes, percent, least), "likely"), sets, percent)
         else:
-            new = verify_stars(settle(likely_pairs(to_leaders(open_, turn, percent), nodes, least), "pairs"),
+            new = verify_stars(settle(likely_pairs(to_leaders(open_, turn, percent), nodes, percent, bands * rows), "pairs"),
                                sets, percent)
         new = settle(new, "edges")
         edges = new if edges is None else edges.unionByName(new)

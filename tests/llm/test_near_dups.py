@@ -95,6 +95,20 @@ def test_odd_rows(docs_of):
     assert sorted(r.doc_id for r in one_of_each(twice, 2).collect()) == [1, 2]
 
 
+def test_whole_sketches_travel_for_few_pairs(spark, monkeypatch):
+    """Pairs of unrelated sets go by a few coordinates; pairs at the threshold stay."""
+    rng = np.random.default_rng(3)
+    nodes = [(i, rng.integers(0, 256, 300, np.uint8)) for i in range(60)]
+    near = nodes[1][1].copy()
+    near[rng.choice(300, 60, replace=False)] += 1            # 240 of 300 are equal
+    frame = spark.createDataFrame([(i, s.tobytes()) for i, s in [*nodes, (60, near)]], "node bigint, sketch binary")
+    pairs = spark.createDataFrame([(1, i) for i in range(61) if i != 1], "leader bigint, node bigint")
+    asked, run = [], near_dups.equal_pairs
+    monkeypatch.setattr(near_dups, "equal_pairs", lambda p, *a: asked.append(p.count()) or run(p, *a))
+    assert [tuple(r) for r in near_dups.likely_pairs(pairs, frame, 80, 300).collect()] == [(1, 60)]
+    assert asked == [60, 1]
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     items = rng.integers(0, 1 << 63, 1500).astype(np.uint64)
