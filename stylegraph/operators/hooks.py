@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, NGram, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -21,6 +22,9 @@ from stylegraph.operators.skew import lookup_join
 Encoder = Callable[[list[str]], "list[list[float]]"]
 Generator = Callable[[str, str], str]
 
+#: Requests that a task answers at a time; their texts may be long.
+ANSWERED = 128
+
 
 def encode_documents(df: DataFrame, text: str, make_encoder: Callable[[], Encoder] | None = None,
                      size: int = 256, n: int = 3, into: str = "embedding") -> DataFrame:
@@ -58,13 +62,14 @@ def generate_text(requests: DataFrame, generate: Generator, done: DataFrame | No
     wanted = requests.select(*keys).distinct()
     fresh = wanted if done is None else wanted.join(done.select(*keys), keys, "left_anti")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(**{into: [
-                generate(a, b) if b != "" else ""
-                for a, b in zip(batch["instruction"], batch["input"])]})
+            for at in range(0, batch.num_rows, ANSWERED):
+                part = batch.slice(at, ANSWERED).select(keys)
+                answers = [generate(a, b) if b != "" else "" for a, b in zip(*(c.to_pylist() for c in part.columns))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(answers, pa.string())], names=[*keys, into])
 
-    made = fresh.mapInPandas(run, f"instruction string, input string, {into} string")
+    made = fresh.mapInArrow(run, f"instruction string, input string, {into} string")
     return made if done is None else made.unionByName(
         done.join(wanted, keys, "left_semi").select(*keys, into))
 
