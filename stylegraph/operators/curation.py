@@ -15,7 +15,7 @@ from stylegraph.operators.blocks import TILE_ROWS, arrow_schema, self_product
 from stylegraph.operators.cluster import drop_noise, labels_of, small_clusters
 from stylegraph.operators.graph import SMALL_EDGES, connected_components
 from stylegraph.operators.profiles import profile_edges
-from stylegraph.operators.skew import global_index, lookup_join
+from stylegraph.operators.skew import global_index, lookup_join, word_join
 from stylegraph.sources.staging import settle
 
 Affinity = Callable[[Column, Column], Column]
@@ -23,7 +23,7 @@ Affinity = Callable[[Column, Column], Column]
 
 def _frequent(rows: DataFrame, item: str, test) -> DataFrame:
     keep = rows.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).filter(test(F.col("_n")))
-    return lookup_join(rows, keep, [item], counted="_n").drop("_n")
+    return word_join(rows, keep, item, counted="_n").drop("_n")
 
 
 def min_frequency_filter(rows: DataFrame, feature: str = "feature", threshold: int = 2) -> DataFrame:
