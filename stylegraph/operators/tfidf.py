@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stylegraph.operators.skew import global_index, lookup_join
+from stylegraph.operators.skew import global_index, lookup_join, word_join
 
 
 def select_feature(styles: DataFrame, column: str, document: str = "document_id") -> DataFrame:
@@ -66,8 +66,8 @@ def doc_feature_matrix(assignments: DataFrame, requested: DataFrame) -> DataFram
     matrix. A requested document without features has one row with no index."""
     present = assignments.filter(F.col("feature").isNotNull())
     vocabulary = global_index(present.select("feature").distinct(), ["feature"], "feature_index")
-    ones = lookup_join(present.select("document_id", "feature").distinct(), vocabulary,
-                       ["feature"]).select("document_id", "feature_index")
+    ones = word_join(present.select("document_id", "feature").distinct(), vocabulary,
+                     "feature").select("document_id", "feature_index")
     return (requested.select("document_id").distinct().join(ones, "document_id", "left")
             .withColumn("value", F.when(F.col("feature_index").isNull(), 0).otherwise(1)
                         .cast("bigint")))
