@@ -196,6 +196,17 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(v.as_py(), np.uint64) for v in table.column("items")]
 
 
+def fits(table: DataFrame, share: int = 1) -> bool:
+    """Whether a written table may travel with the tasks; rows of several columns get a ``share``-th of the ids."""
+    return table.count() * share <= BROADCAST_IDS
+
+
+def with_sets(tasks: DataFrame, sets: DataFrame) -> DataFrame:
+    """``tasks(node, ...)`` with the sets of their nodes; while they fit, tasks travel to the sets."""
+    tasks = settle(tasks, "tasks")
+    return sets.join(F.broadcast(tasks) if fits(tasks, 3) else tasks, "node")
+
+
 _edges = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -204,10 +215,10 @@ def verify_stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("_n"))
     dealt = settle(lookup_join(pairs, sizes, ["leader"], counted="_n").withColumn(
         "chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / CHUNK).cast("bigint"))).drop("_n"), "stars")
-    members = dealt.join(sets, "node").select("leader", "chunk", "node", "items")
-    heads = dealt.select("leader", "chunk").distinct().join(
-        sets.withColumnRenamed("node", "leader"), "leader").select(
-        "leader", "chunk", F.col("leader").alias("node"), "items")
+    # leaders and members take their sets by one join, so that the sets are shuffled once at most
+    heads = dealt.select("leader", "chunk", F.col("leader").alias("node")).distinct()
+    tasks = with_sets(dealt.select("leader", "chunk", "node").unionByName(heads), sets).select(
+        "leader", "chunk", "node", "items")
 
     def compare(table: pa.Table) -> pa.Table:
         head = table.column("leader")[0].as_py()
@@ -220,7 +231,7 @@ def verify_stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         ends = nodes[rest][good]
         return pa.table([pa.array(np.full(len(ends), head), pa.int64()), pa.array(ends, pa.int64())], schema=_edges)
 
-    return members.unionByName(heads).groupBy("leader", "chunk").applyInArrow(compare, "a bigint, b bigint")
+    return tasks.groupBy("leader", "chunk").applyInArrow(compare, "a bigint, b bigint")
 
 
 def sketches_of(table: pa.Table, column: str = "sketch") -> np.ndarray:
@@ -329,21 +340,39 @@ def verify_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
                 b.extend(nodes[good])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_edges)
 
-    return tasks.join(sets, "node").groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return with_sets(tasks, sets).groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def to_leaders(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs ``(leader, node)`` of one leader per bucket with its other components' members, sizes permitting."""
+def with_leaders(members: DataFrame, turn: int) -> DataFrame:
+    """``members(key, node, n, component)`` with one leader per bucket: ``leader, leader_n, leader_component``."""
     leaders = members.groupBy("key").agg(F.min(F.struct(
         F.xxhash64(F.col("node"), F.lit(turn)).alias("h"), F.col("node").alias("leader"),
         F.col("n").alias("leader_n"), F.col("component").alias("leader_component"))).alias("_l"),
         F.count(F.lit(1)).alias("_n")).select("key", "_l.leader", "_l.leader_n", "_l.leader_component", "_n")
-    return (lookup_join(members, leaders, ["key"], counted="_n")
-            .filter("component <> leader_component and "
-                    f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
+    return lookup_join(members, leaders, ["key"], counted="_n").drop("_n")
+
+
+def to_leaders(dealt: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(leader, node)`` of each leader with its bucket's members in other components, sizes permitting."""
+    return (dealt.filter("component <> leader_component and "
+                         f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
             .select("leader", "node").distinct())
 
 
+def one_row_each(signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``signed(row, node, ...)`` that stand for their node: ``row`` of ``nodes(node, row, copies)``.
+
+    Only the rows that go are looked up, so that signatures are not shuffled while copies are few.
+    """
+    several = nodes.filter("copies > 1").select("node", F.col("row").alias("_first"), "copies")
+    spare = settle(lookup_join(signed.select("node", "row"), several, ["node"], counted="copies")
+                   .filter("row <> _first").select("row"), "spare")
+    full = signed.filter("node is not null")
+    if fits(spare):
+        return full.join(F.broadcast(spare), "row", "left_anti")
+    return settle(full.join(spare, "row", "left_anti"), "first")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 50,
                     rows: int = 6) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least ``percent``.
@@ -363,29 +392,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     told apart by 64-bit hashes.
     """
     docs = only(docs, doc_id="bigint", text="string")
-    signed = settle(signatures(docs, words, bands, rows), "signatures")
+    signed = settle(signatures(docs, words, bands, rows).withColumn("row", F.monotonically_increasing_id()), "signatures")
     nodes = settle(signed.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"),
-        F.first("sketch").alias("sketch")), "nodes")
+        F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.min("row").alias("row"),
+        F.count(F.lit(1)).alias("copies")), "nodes")
+    first = one_row_each(signed, nodes)
     least = least_equal(percent, bands * rows)
-    members = nodes.select("node", "n", F.explode("keys").alias("key"))
-    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    buckets = settle(lookup_join(members, crowded, ["key"], counted="_n").drop("_n"), "buckets")
-
-    wanted = settle(buckets.select("node").distinct().join(nodes.select("node", "id"), "node")
-                    .select("id").distinct(), "wanted")
-    ids = wanted.withColumnRenamed("id", "_id")
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    members = first.select("node", F.explode("keys").alias("key"))
+    crowded = settle(members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "crowded")
+    buckets = settle(members.join(F.broadcast(crowded.select("key")), "key") if fits(crowded)
+                     else lookup_join(members, crowded, ["key"], counted="_n").drop("_n"), "buckets")
+
+    # most sets are alone in their buckets: signatures and texts are read again for the others only
+    wanted = settle(buckets.select("node").distinct().join(nodes.select("node", "n", "id"), "node"), "wanted")
+    few = F.broadcast if fits(wanted) else lambda df: df
+    sketches = settle(first.select("node", "keys", "sketch").join(few(wanted.select("node")), "node", "left_semi"), "sketches")
+    ids = few(wanted.select(F.col("id").alias("_id")))
     sets = settle(shingle_sets(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), words), "sets")
 
-    open_ = buckets.withColumn("component", F.col("node"))
-    edges, found = None, None
+    open_ = buckets.join(few(wanted.select("node", "n")), "node").withColumn("component", F.col("node"))
+    open_ = settle(open_.select("key", "node", "n", "component"), "open")
+    edges, found, rest = None, None, None
     for turn in range(LEADER_ROUNDS + 1):
         last = False
         if turn:
             # a bucket inside one component stays so: only the open ones go on
-            joined = lookup_join(open_.drop("component"), found.withColumnRenamed("component", "_c"), ["node"], "left")
+            joined = lookup_join(rest, found.withColumnRenamed("component", "_c"), ["node"], "left")
             joined = joined.select("key", "node", "n", F.coalesce("_c", "node").alias("component"))
             mixed = settle(joined.groupBy("key").agg(
                 F.min("component").alias("_a"), F.max("component").alias("_b"),
@@ -396,23 +428,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
             open_ = settle(lookup_join(joined, mixed, ["key"], counted="_n").drop("_n"), "open")
             last = largest <= SKETCH_BLOCK or turn == LEADER_ROUNDS      # leaders pay off in large buckets only
         if last:
-            new = verify_blocks(settle(likely_members(open_, nodes, percent, least), "likely"), sets, percent)
+            new = verify_blocks(settle(likely_members(open_, sketches, percent, least), "likely"), sets, percent)
         else:
-            new = verify_stars(settle(likely_pairs(to_leaders(open_, turn, percent), nodes, percent, bands * rows), "pairs"),
+            dealt = settle(with_leaders(open_, turn), "dealt")
+            new = verify_stars(settle(likely_pairs(to_leaders(dealt, percent), sketches, percent, bands * rows), "pairs"),
                                sets, percent)
+            # all pairs of a leader in its bucket are settled now
+            rest = dealt.filter("node <> leader").select("key", "node", "n")
         new = settle(new, "edges")
         edges = new if edges is None else edges.unionByName(new)
         found = connected_components(edges)
         if last:
             break
 
-    named = lookup_join(nodes.select("node", "id"), found.withColumnRenamed("component", "_c"), ["node"], "left")
-    named = settle(named.select("node", "id", F.coalesce("_c", "node").alias("component")), "named")
+    named = lookup_join(nodes.select("node", "id", "copies"), found.withColumnRenamed("component", "_c"), ["node"], "left")
+    named = settle(named.select("node", "id", "copies", F.coalesce("_c", "node").alias("component")), "named")
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("_n"))
-    per_node = lookup_join(named.select("node", "component"), smallest, ["component"], counted="_n").select(
-        "node", "component_id")
-    counted = signed.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).filter("node is not null")
-    per_node = per_node.join(counted, "node")
+    per_node = lookup_join(named.select("node", "component", "copies"), smallest, ["component"], counted="_n").select(
+        "node", "component_id", F.col("copies").alias("_n"))
     full = lookup_join(signed.filter("node is not null").select("doc_id", "n_shingles", "node"), per_node,
                        ["node"], counted="_n").select("doc_id", "n_shingles", "component_id")
     empty = signed.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -138,3 +138,55 @@ def test_coordinates_spread_like_independent_ones(n):
         a, b = Signer(50, 6).lowest([np.sort(items[cut:]), np.sort(items[:n - cut])])
         shares.append((a == b).mean())
     assert abs(np.mean(shares) - 0.8) < 0.006 and abs(np.std(shares) - 0.0231) < 0.006
+
+
+def changed(rng, text, n):
+    """``text`` with ``n`` words exchanged, far apart."""
+    text = text[:]
+    for at in range(n):
+        text[at * len(text) // n] = f"new{rng.random()}"
+    return text
+
+
+def test_pairs_meet_their_leader_once(docs_of, monkeypatch):
+    """A pair just below the threshold that is alone in its buckets is compared with a leader and not again in blocks."""
+    rng, rows = random.Random(4), []
+    for g in range(20):
+        text = [f"{g}w{i}" for i in range(200)]
+        rows += [" ".join(text), " ".join(changed(rng, text, 13))]       # 174 of 226 pairs of words: 0.77
+    blocks, run = [], near_dups.verify_blocks
+    monkeypatch.setattr(near_dups, "verify_blocks", lambda m, *a: blocks.append(m.count()) or run(m, *a))
+    check(docs_of([(i, t, "s") for i, t in enumerate(rows)], extra=False), 2)
+    assert sum(blocks) == 0
+
+
+def test_signatures_travel_for_shared_buckets_only(docs_of, monkeypatch):
+    """Sets that are alone in all buckets are not looked up; copies of one text count as one set, in either path."""
+    rng, rows = random.Random(5), []
+    for g in range(30):
+        rows += [" ".join(f"{g}w{rng.randrange(10 ** 9)}" for _ in range(60))] * (g % 3 + 1)
+    text = [f"v{i}" for i in range(300)]
+    rows += [" ".join(text), " ".join(changed(rng, text, 3))]
+    asked, run = [], near_dups.likely_pairs
+    monkeypatch.setattr(near_dups, "likely_pairs", lambda p, nodes, *a: asked.append(nodes.count()) or run(p, nodes, *a))
+    docs = docs_of([(i, t, "s") for i, t in enumerate(rows)], extra=False)
+    check(docs, 2)
+    monkeypatch.setattr(near_dups, "BROADCAST_IDS", 0)
+    check(docs, 2)
+    assert asked == [2, 2]
+
+
+def test_wide_rows_stay_where_they_are(spark, monkeypatch):
+    """Sets are shuffled for the comparison only, while what is looked up is small."""
+    sets = spark.createDataFrame([(i, np.arange(9, dtype=np.uint64).tobytes()) for i in range(4)], "node bigint, items binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (2, 3)], "leader bigint, node bigint")
+    monkeypatch.setattr(near_dups, "settle", lambda df, label="": df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = near_dups.verify_stars(pairs, sets, 80)
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, edges.collect())) == [(0, 1), (0, 2), (2, 3)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning(node" in line]
+    assert plan.count("BroadcastHashJoin") == 1 and not shuffled
