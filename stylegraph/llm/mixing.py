@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stylegraph.llm.common import WORD, hashed_rank, only, stable_hash
-from stylegraph.operators.skew import global_index, lookup_join, number_in_group
+from stylegraph.operators.skew import MAX_HOT_BYTES, global_index, lookup_join, number_in_group
 from stylegraph.sources.staging import settle
 
 
@@ -97,7 +97,8 @@ def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     Rows are matched by what the mix sees of them: id, source and size. Rows that agree
     in all three share a rate, so their copies differ by one at most; their sum is dealt
-    evenly, one more to the first rows by hash. Numbering those spans tasks.
+    evenly, one more to the first rows by hash. Numbering those spans tasks. What the mix says
+    travels to the texts while it fits in ``MAX_HOT_BYTES``; beyond, the texts are shuffled once.
     """
     names = docs.columns
     alike = ["_id", "_none", "_s", "_null", "_size"]
@@ -111,7 +112,11 @@ def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     dealt = settle(mixed.select(*seen(F.col("size")), "copies").groupBy(*alike).agg(
         F.sum("copies").alias("_total"), F.count(F.lit(1)).alias("_n")), "dealt")
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *seen(n_words()))
-    joined = lookup_join(left, dealt, alike, counted="_n")
+    row_bytes = F.octet_length("_s") + 96
+    if (dealt.agg(F.sum(row_bytes)).first()[0] or 0) <= MAX_HOT_BYTES:
+        joined = left.join(F.broadcast(dealt), alike)       # else every text would go through a shuffle
+    else:
+        joined = lookup_join(left, dealt, alike, counted="_n")
     times = F.expr("_total div _n")
     uneven = "_total % _n <> 0"
     if dealt.filter(uneven).isEmpty():

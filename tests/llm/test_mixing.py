@@ -3,6 +3,7 @@ import pytest
 from conftest import FOLDER, ODD
 from oracle import compare, connect
 
+from stylegraph.llm import mixing
 from stylegraph.llm.mixing import emit, mix, source_targets
 from stylegraph.llm.queries import QUERIES, SQL
 
@@ -79,3 +80,21 @@ def test_emit_repeated_ids(docs_of):
     assert got == {k: n for k, n in want.items() if n}
     alike = [sum(r.text == t for r in out) for i, t, _ in rows if i == 7]
     assert max(alike) - min(alike) == 1
+
+
+def test_texts_stay_where_they_are(spark, docs_of, monkeypatch):
+    """The mix travels to the texts while it fits; beyond, the same rows come by a shuffle."""
+    rows = [(i, f"text {i} " * (i % 7 + 1), f"s{i % 3}" if i % 5 else None) for i in range(60)]
+    df = docs_of(rows, extra=False)
+    mixed = mix(df, weights=(1, 5, 9))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans, found = [], []
+        for most in (mixing.MAX_HOT_BYTES, 0):
+            monkeypatch.setattr(mixing, "MAX_HOT_BYTES", most)
+            out = emit(df, mixed)
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+            found.append(sorted(map(str, out.collect())))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1] and found[0] == found[1]
