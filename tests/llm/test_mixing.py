@@ -90,7 +90,7 @@ def test_texts_stay_where_they_are(spark, docs_of, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plans, found = [], []
-        for most in (mixing.MAX_HOT_BYTES, 0):
+        for most in (64 << 20, 0):
             monkeypatch.setattr(mixing, "MAX_HOT_BYTES", most, raising=False)
             out = emit(df, mixed)
             plans.append(out._jdf.queryExecution().executedPlan().toString())
