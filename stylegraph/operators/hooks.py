@@ -86,6 +86,13 @@ def ask(rows: DataFrame, instruction: str, prompt: Column, generate: Generator,
     return zip_by_key(asked, generate_text(asked, generate, done), ["instruction", "input"])
 
 
+def ask_if_any(rows: DataFrame, instruction: str, prompt: Column, generate: Generator) -> DataFrame:
+    """:func:`ask` that keeps rows without a prompt: they have no answer, and nobody is asked."""
+    asked = rows.withColumn("instruction", F.lit(instruction)).withColumn("input", prompt)
+    answers = generate_text(asked.filter("input IS NOT NULL"), generate)
+    return lookup_join(asked, answers, ["instruction", "input"], "left")
+
+
 def styled_documents(styles: dict[str, str], generate: Generator, count: int,
                      topics: DataFrame) -> DataFrame:
     """Texts written in each style on each topic of ``topics(topic)``."""
@@ -106,7 +113,8 @@ def rewrite_documents(docs: DataFrame, styles: dict[str, str], mode: str,
 
 
 def document_topics(docs: DataFrame, generate: Generator) -> DataFrame:
-    return ask(docs, X.INSTRUCTIONS["topic"], F.col("text"), generate).withColumnRenamed(
+    """The topic of each document ``(text)``: empty for an empty text, null without a text."""
+    return ask_if_any(docs, X.INSTRUCTIONS["topic"], F.col("text"), generate).withColumnRenamed(
         "generations", "topic").drop("instruction", "input")
 
 

@@ -111,7 +111,8 @@ def _rate(t: Tables):
 @query("document_topics", """SELECT doc_id, length(text) AS size FROM documents""")
 def _topics(t: Tables):
     rows = H.document_topics(t.documents.select("doc_id", "text"), lambda i, x: str(len(x)))
-    return rows.select("doc_id", F.col("topic").cast("bigint").alias("size"))
+    # an empty text is answered by an empty topic
+    return rows.select("doc_id", F.when(F.col("topic") == "", 0).otherwise(F.col("topic").cast("bigint")).alias("size"))
 
 
 @query("describe_cluster_styles", """SELECT conv_id, 'many turns' AS style FROM conversations

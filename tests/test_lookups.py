@@ -45,3 +45,11 @@ def test_answers_of_nulls_and_empty_inputs(spark):
     requests = spark.createDataFrame([("say", "a"), ("say", ""), ("say", None)], "instruction string, input string")
     got = {r["input"]: r["generations"] for r in H.generate_text(requests, lambda i, t: t and t + "!").collect()}
     assert got == {"a": "a!", "": "", None: None}
+
+
+def test_topics_of_documents_without_text(spark, tmp_path):
+    from stylegraph.registry.all import QUERIES
+    rows = [(1, "ab"), (2, None), (3, ""), (4, "ab"), (4, "ab"), (5, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["document_topics"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 2), (2, None), (3, 0), (4, 2), (4, 2), (5, None)]
