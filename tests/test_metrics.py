@@ -1,5 +1,7 @@
 """Ranking metrics against direct formulas, in and out of the task."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +146,21 @@ def test_candidates_are_not_copied_for_each_tile(spark):
     ranked = metrics.leave_one_out(docs, tile_bytes=9 * 60)
     assert "Explode" not in ranked._jdf.queryExecution().analyzed().toString() and "explode" not in ranked._jdf.queryExecution().analyzed().toString()
     assert ranked.agg(F.count_if((F.col("hits") == 3) & (F.col("misses") == 56))).first()[0] == 120
+
+
+def test_ranks_by_hits_and_ties_alone():
+    rng = np.random.default_rng(5)
+    for n, levels in ((n, levels) for n in range(1, 30) for levels in (2, 5, 1000)):
+        scores = rng.integers(0, levels, n).astype(float)
+        hits = rng.random(n) < rng.choice([0.1, 0.5, 1.0])
+        discounts = np.r_[0, np.cumsum(1 / np.log2(np.arange(1, n + 1) + 1))]
+        assert metrics.rank_one(scores, hits, discounts) == pytest.approx(direct(scores, hits.astype(int)), abs=1e-12)
+    # a hundred thousand scores are sorted once and compared once; before, a list of each distinct one was made several times
+    scores = rng.normal(size=100_000)
+    hits = np.arange(len(scores)) < 3
+    discounts = np.ones(len(scores) + 1).cumsum()
+    tracemalloc.start()
+    metrics.rank_one(scores, hits, discounts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2.5e6
