@@ -64,3 +64,19 @@ def test_a_single_document_has_no_ranking(spark):
     df = spark.createDataFrame([(1, "a", [1.0, 0.0])], "id bigint, author_id string, vector array<double>")
     got = metrics.leave_one_out(df.selectExpr("0 AS space", "*")).first()
     assert tuple(got) == (0, 1, 0, 0, None, 1.0, 0.0, 0.0)
+
+
+def test_blocks_are_read_and_not_copied(spark):
+    import numpy as np
+    from stylegraph.operators import blocks
+    rng = np.random.default_rng(6)
+    left, right = rng.normal(size=(40, 3)), rng.normal(size=(90, 3)).round(1)
+    frames = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<double>") for x in (left, right)]
+    found = blocks.top_matches(*frames, 5, block_rows=8)
+    assert "xplode" not in found._jdf.queryExecution().analyzed().toString()
+    want = {(i, int(j)) for i, row in enumerate(np.round(left @ right.T, 9)) for j in np.lexsort((np.arange(90), -row))[:5]}
+    assert {(r.id, r.match) for r in found.collect()} == want
+    seen = blocks.self_product(frames[1], lambda a, b: a.select(["_lb"]).append_column("rb", b.column("_rb")).slice(0, 1)
+                               if a.num_rows <= b.num_rows else b.select(["_lb"]).append_column("rb", b.column("_rb")).slice(0, 1),
+                               "l bigint, r bigint", block_rows=8)
+    assert "xplode" not in seen._jdf.queryExecution().analyzed().toString()
